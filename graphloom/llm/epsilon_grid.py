@@ -118,7 +118,7 @@ def similar_vectors(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     grid = classes.mapInPandas(gridded, f"_label {label_type}, dim int, cells array<long>, rep long, copies long, x binary")
     n_rows = classes.count()
     n_parts = max(1, math.ceil(n_rows / (INTERVAL * 16)))
-    order = ["_label", "dim", *[F.col("cells")[i] for i in range(AXES)], "rep"]
+    order = ["_label", "dim", "cells", "rep"]
 
     def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cut the sorted rows of a partition into intervals of one label and dimension."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import durable
 from graphloom.llm.language_id import held_out
-from graphloom.llm.ragged import U, flat, mix64, steps, word_hashes
+from graphloom.llm.ragged import U, flat, mix64, shingles, steps, word_hashes, words
 
 # Letters that a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -25,8 +25,9 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 REPLACED, REPEATED = -1.5, -1.0
 #: Bytes of the prefixes that are features besides whole words.
 PREFIXES = (4, 5, 6)
-#: Bounds of the fit: labelled rows (smallest hash of the id), candidate features, smallest support, least precision.
-FIT_ROWS, CANDIDATES, SUPPORT, PRECISION = 20_000, 50_000, 3, 0.8
+#: Bounds of the fit: labelled rows (smallest hash of the id), candidate features, smallest support, support at
+#: which a feature without clean rows needs no further reason, least precision.
+FIT_ROWS, CANDIDATES, SUPPORT, SIGNIFICANT, PRECISION = 20_000, 50_000, 3, 6, 0.8
 LETTERS = 27  # a to z, and everything else
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in LOOKALIKES]] = True
@@ -167,8 +168,17 @@ def features(texts: pa.Array, model: np.ndarray, seen: dict[str, str]) -> tuple[
     return np.concatenate(docs), np.concatenate(hashes)
 
 
+def _families(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash per text that near copies mostly share: the least hash of three words in a row."""
+    starts, ends, firsts = words(data, offsets)
+    h, doc = shingles(word_hashes(data, starts, ends), firsts, 3)
+    out = np.full(len(offsets) - 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(out, doc, h)
+    return out.view(np.int64)
+
+
 def _featured(shared, wanted=None):
-    """mapInArrow function from (_y, _text) to one row (_y, features) per text, distinct features only (those wanted)."""
+    """mapInArrow function from (_y, _text) to (fam, f) per text: its family and distinct features (those wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
@@ -186,16 +196,18 @@ def _featured(shared, wanted=None):
                 doc, h = doc[new], h[new]
                 ends = np.searchsorted(doc, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("_y")[a:b], lists], names=["_y", "f"])
+                family = _families(*flat(pc.utf8_lower(batch.column("_text")[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(family), lists], names=["fam", "f"])
 
     return run
 
 
-def _cover(incidence: list[list[int]], clean: dict[int, int], kinds: dict[int, int]) -> tuple[dict[int, float], int]:
+def _cover(incidence: list[list[int]], clean: dict[int, int]) -> tuple[dict[int, float], int]:
     """Choose features that explain the toxic rows: the one with most unexplained rows first, until support ends.
 
-    Words that merely stand beside a toxic word are never chosen, since their rows are explained already. Returns the
-    precision of each chosen feature and the number of rows left unexplained.
+    Rare words that merely stand beside a toxic word are not chosen, since their rows are explained already; features
+    of SIGNIFICANT toxic rows (of different families) and no clean row are. Returns the precision of each chosen
+    feature and the number of rows left unexplained.
     """
     rows: dict[int, set[int]] = {}
     for i, fs in enumerate(incidence):
@@ -211,11 +223,12 @@ def _cover(incidence: list[list[int]], clean: dict[int, int], kinds: dict[int, i
         if most < SUPPORT:
             break
         # Among features of about the same reach: fewest clean rows, most toxic rows in all, then the longest form.
-        best = max((f for f, r in left.items() if len(r) >= 0.98 * most), key=lambda f: (-clean.get(f, 0), total[f], kinds.get(f, 0), f))
+        best = max((f for f, r in left.items() if len(r) >= 0.98 * most), key=lambda f: (-clean.get(f, 0), total[f], f))
         lexicon[best] = precise[best]
         now = left.pop(best)
         explained |= now
         left = {f: r - now for f, r in left.items() if len(r - now) >= SUPPORT}
+    lexicon |= {f: precise[f] for f, n in total.items() if n >= SIGNIFICANT and not clean.get(f, 0)}
     return lexicon, len(incidence) - len(explained)
 
 
@@ -231,14 +244,17 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("_i")).select("_y", F.col(text_col).alias("_text")).where("_text IS NOT NULL")
     rows = durable(rows.groupBy("_text").agg(F.max("_y").alias("_y")).select("_y", "_text"), "labelled")
     shared = sc.broadcast(model)
-    toxic, schema = rows.where("_y = 1"), "_y int, f array<long>"
-    seen = toxic.mapInArrow(_featured(shared), schema).select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    schema = "fam long, f array<long>"
+    featured = lambda y, *wanted: rows.where(F.col("_y") == y).mapInArrow(_featured(shared, *wanted), schema)
+    # Near copies of one toxic text are one witness.
+    witnesses = lambda *wanted: featured(1, *wanted).groupBy("fam").agg(F.min("f").alias("f"))
+    seen = witnesses().select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
     wanted = np.sort(np.array([r["f"] for r in seen.orderBy(F.desc("n"), "f").limit(CANDIDATES).select("f").collect()], dtype=np.int64).view(np.uint64))
     some = sc.broadcast(wanted)
-    clean = rows.where("_y = 0").mapInArrow(_featured(shared, some), schema).select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    clean = featured(0, some).select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     n_clean = {r["f"]: r["n"] for r in clean.collect()}
-    incidence = [[f for f in r["f"] if n_clean.get(f, 0) <= 50] for r in toxic.mapInArrow(_featured(shared, some), schema).collect()]
-    lexicon, unexplained = _cover(incidence, n_clean, {})
+    incidence = [[f for f in r["f"] if n_clean.get(f, 0) <= 50] for r in witnesses(some).collect()]
+    lexicon, unexplained = _cover(incidence, n_clean)
     total = max(1, rows.count())
     keys = np.array(list(lexicon), dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
