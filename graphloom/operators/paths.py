@@ -57,7 +57,7 @@ def var_length(rels: DataFrame, starts: DataFrame, low: int = 1, high: int | Non
                 break
         if depth >= low:
             found.append(front)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else front
 
 
 def k_hop(rels: DataFrame, starts: DataFrame, low: int = 1, high: int | None = None, direction: str = OUT) -> DataFrame:
