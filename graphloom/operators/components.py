@@ -1,24 +1,34 @@
-"""Connected components by contraction, shared by graph algorithms."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.durable import durable
+from graphloom.plans.durable import durable, release
 
 
 def components(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(id, component) of every id in the links, the component being named by its smallest id."""
-    edges = durable(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    """(id, component) of every id in the links, the component being named by its smallest id.
+
+    Contraction: each round maps a vertex to its smallest neighbour (itself included), follows that map once more,
+    relabels the links and drops loops and repeats, so that the links shrink geometrically. Hubs are pre-aggregated
+    by groupBy, and only aggregates and equi-joins run; the driver sees no more than one emptiness flag per round.
+    """
+    edges = durable(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "links")
     found = edges.selectExpr("explode(array(u, v)) AS id").distinct().select("id", F.col("id").alias("component"))
-    edges = edges.where("u <> v")
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    kept = None  # a table that `found` still reads
+    while not edges.where("u <> v").isEmpty():
+        proper = edges.where("u <> v")
+        both = proper.unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The smallest neighbour has itself moved: follow it once.
         twice = step.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        step = durable(step.join(twice, "m").select("u", F.col("mm").alias("m")))
-        found = durable(found.join(step.select(F.col("u").alias("component"), "m"), "component", "left").select("id", F.coalesce("m", "component").alias("component")))
-        moved = edges.join(step, "u").join(step.select(F.col("u").alias("v"), F.col("m").alias("n")), "v")
-        edges = durable(moved.select(F.least("m", "n").alias("u"), F.greatest("m", "n").alias("v")).where("u <> v").distinct())
+        step = durable(step.join(twice, "m").select("u", F.col("mm").alias("m")), "step")
+        moved = step.select(F.col("u").alias("component"), "m")
+        new = durable(found.join(moved, "component", "left").select("id", F.coalesce("m", "component").alias("component")), "components")
+        ends = proper.join(step, "u").join(step.select(F.col("u").alias("v"), F.col("m").alias("n")), "v")
+        left = durable(ends.select(F.least("m", "n").alias("u"), F.greatest("m", "n").alias("v")).where("u <> v").distinct(), "links")
+        release(edges, step, *([] if kept is None else [kept]))
+        edges, found, kept = left, new, new
     return found
