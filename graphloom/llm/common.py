@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import components as connected
+from graphloom.plans.durable import durable, release, scratch_dir
+
+__all__ = ["SPACES", "WORD", "components", "durable", "n_words", "release", "scratch_dir", "squeezed", "text_or_empty"]
+
 #: The six ASCII white-space characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word is a maximal run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.gettempdir() + "/graphloom-scratch"
-    return f"{shared.rstrip('/')}/graphloom"
-
-
-def durable(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete tables that durable() wrote and nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -53,27 +30,6 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text_or_empty(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every id in the links, component being the smallest id reachable.
-
-    Contraction: each round maps a vertex to its smallest neighbour (itself included), follows that map once more,
-    relabels the links and drops loops and repeats, so that the links shrink geometrically. Hubs are pre-aggregated
-    by groupBy, and only aggregates and equi-joins run; the driver sees no more than one emptiness flag per round.
-    """
-    edges = durable(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
-    found = edges.selectExpr("explode(array(u, v)) AS id").distinct().select("id", F.col("id").alias("component"))
-    first = True
-    while not edges.isEmpty():
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # The smallest neighbour has itself moved: follow it once.
-        far = step.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        step = durable(step.join(far, "m").select("u", F.col("mm").alias("m")), "step")
-        to_u, to_v = step, step.select(F.col("u").alias("v"), F.col("m").alias("n"))
-        new = edges.join(to_u, "u").join(to_v, "v").select(F.least("m", "n").alias("u"), F.greatest("m", "n").alias("v")).where("u <> v").distinct()
-        moved = step.select(F.col("u").alias("component"), F.col("m").alias("c2"))
-        found = durable(found.join(moved, "component", "left").select("id", F.coalesce("c2", "component").alias("component")), "components")
-        edges, old = durable(new, "links"), edges
-        release(old, step) if not first else release(step)
-        first = False
-    return found
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of every id in links (a, b), component being the smallest id reachable."""
+    return connected(links, "a", "b")

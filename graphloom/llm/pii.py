@@ -19,7 +19,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
 }
 #: A text without this character holds no match of the kind.
 NEEDS = {"email": "@", "phone": "+", "ip": "."}
@@ -27,11 +27,11 @@ BASE = ["email", "ip", "card", "phone"]
 # Score of a confirmed span, and words that raise it when they stand within CONTEXT characters.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8}
 CONTEXT_WORDS = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write)\b",
-    "ip": r"(?i)\b(?:ip|host|server|address|addr)\b",
-    "card": r"(?i)\b(?:card|visa|mastercard|credit|debit|payment)\b",
-    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|contact)\b",
-    "iban": r"(?i)\b(?:iban|account|bank|konto|transfer)\b",
+    "email": r"(?i)(?<![A-Za-z0-9_])(?:e-?mail|mail|contact|write)(?![A-Za-z0-9_])",
+    "ip": r"(?i)(?<![A-Za-z0-9_])(?:ip|host|server|address|addr)(?![A-Za-z0-9_])",
+    "card": r"(?i)(?<![A-Za-z0-9_])(?:card|visa|mastercard|credit|debit|payment)(?![A-Za-z0-9_])",
+    "phone": r"(?i)(?<![A-Za-z0-9_])(?:phone|tel|call|mobile|fax|contact)(?![A-Za-z0-9_])",
+    "iban": r"(?i)(?<![A-Za-z0-9_])(?:iban|account|bank|konto|transfer)(?![A-Za-z0-9_])",
 }
 CONTEXT = 40
 BONUS = 0.2

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import dart_minhash, epsilon_grid, exact_dedup, language_id, mixing, packing, pii, sharding, token_counts, toxicity
+from graphloom.llm import dart_minhash, epsilon_grid, exact_dedup, language_id, mixing, oracles, packing, pii, sharding, token_counts, toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
