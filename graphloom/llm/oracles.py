@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: exact dedup, PII, mixing."""
+"""DuckDB SQL for the operators that SQL can express: both near dedups by comparing pairs, exact dedup, PII, mixing."""
 
 from __future__ import annotations
 
@@ -80,4 +80,29 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 )
 
-SQL = {"op2_exact_dedup": EXACT, "op4_pii": PII, "op8_source_mixing": MIXING}
+_CLASSES = """
+r(s, t) AS (SELECT {id}, {id} FROM {table} UNION SELECT s, b FROM r JOIN l ON t = a),
+m AS (SELECT s, min(t) AS component_id FROM r GROUP BY 1)
+"""
+
+EMBEDDINGS = (
+    """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),"""
+    + _CLASSES.format(id="vec_id", table="embeddings")
+    + "SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON s = vec_id"
+)
+
+NEAR = (
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS i FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i >= 0.8 * (x.n + y.n - i)),"""
+    + _CLASSES.format(id="doc_id", table="documents")
+    + "SELECT doc_id, component_id, doc_id = component_id AS kept FROM documents JOIN m ON s = doc_id"
+)
+
+SQL = {"op1_embedding_near_dedup": EMBEDDINGS, "op5_minhash_near_dedup": NEAR, "op2_exact_dedup": EXACT, "op4_pii": PII, "op8_source_mixing": MIXING}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Records a range should hold, so that a window over one range fits a task.
 RANGE_ROWS = 500_000
-#: Sampled keys per range; the sample is RANGE_FACTOR * number of ranges rows, whatever the corpus size.
+#: Sampled keys per range; the sample holds about this many per range, whatever the corpus' size.
 SAMPLES_PER_RANGE = 24
 
 
@@ -47,11 +47,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).first()
     n_rows, n_bytes = total["n"], total["b"] or 0
     n_ranges = max(4, math.ceil(n_rows / RANGE_ROWS), min(96, n_rows // 2000))
-    # Exponential races: the smallest -ln(u)/size are a sample in which a record's chance follows its size.
+    # Exponential races: a record is drawn if -ln(u) / size is below the rate that gives the sample its expected size,
+    # so that its chance follows its size and each task sends the records it draws, no more.
     u = (F.conv(F.substring(F.col("_key")["t"], 1, 8), 16, 10).cast("double") + 1) / 2**32
-    sample = rows.select("_key", (-F.log(u) / F.col("_size")).alias("_race")).orderBy("_race").limit(n_ranges * SAMPLES_PER_RANGE)
-    keys = [(r["_key"]["k"], r["_key"]["t"]) for r in sample.select("_key").collect()]
-    keys = sorted(set(keys))
+    rate = n_ranges * SAMPLES_PER_RANGE / max(n_bytes, 1)
+    sample = rows.where(-F.log(u) / F.col("_size") < rate).select("_key")
+    keys = sorted({(r["_key"]["k"], r["_key"]["t"]) for r in sample.collect()})
     bounds = keys[SAMPLES_PER_RANGE // 2 :: SAMPLES_PER_RANGE]
 
     ranged = rows.withColumn("_range", _rank_in(bounds, F.col("_key")))
