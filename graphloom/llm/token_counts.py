@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch_dir, text_or_empty
+from graphloom.llm.common import durable, scratch_dir, text_or_empty
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Texts that a library call encodes at once.
@@ -82,5 +82,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     todo = texts.join(wanted, (F.col("digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_one")), "left_semi").select("digest", "_text")
     new = todo.mapInArrow(_encoded(tokenizer_path), "digest binary, n_tokens long")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = _cached(docs, cache, version)
+    # A table of its own, so that the join may split a digest that a third of all rows share.
+    counts = durable(_cached(docs, cache, version), "counts")
     return keyed.join(counts, "digest", "left").select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
