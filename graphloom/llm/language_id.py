@@ -21,6 +21,9 @@ from graphloom.llm.ragged import flat, steps, words
 #: Trigram buckets, additive smoothing, EM rounds of the full fit and of each refit, penalty per further language.
 BUCKETS, SMOOTHING, ROUNDS, REFITS, PENALTY, LARGEST_SET = 1 << 16, 0.05, 10, 4, 3.0, 4
 
+#: Bytes of text that a training task counts at once.
+TRAIN_BYTES = 500_000
+
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the trigram that starts one byte before each byte; the bytes; the offsets of the texts."""
@@ -35,7 +38,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("_lang").to_pylist(), dtype=object)
-        for a, b in steps(batch.column("_text")):
+        for a, b in steps(batch.column("_text"), TRAIN_BYTES):
             for lang in set(langs[a:b]):
                 part = batch.column("_text")[a:b].filter(pa.array(langs[a:b] == lang))
                 bucket, _, _ = _trigrams(part)
@@ -113,7 +116,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
-    step_bytes = max(100_000, 8_000_000 // max(4, len(langs)))
+    step_bytes = max(100_000, 2_000_000 // max(4, len(langs)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p = shared.value
