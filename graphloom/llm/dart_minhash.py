@@ -10,7 +10,9 @@ document however long it is; a document that leaves a coordinate empty throws on
 Bands propose pairs in the shape of stars (each member of a bucket with the bucket's pivot), so a bucket's pairs are as
 many as its members; every pair is then verified on whole texts, and verified links make components. The pivot is the
 member that shares most buckets, which is the original among its copies. Buckets that still hold several classes propose
-again, with other pivots (those with most links), while their members gain links.
+again, with other pivots (those with most links), while their members gain links. What then remains unresolved is
+compared exactly: two texts at the threshold share one of the rarest fifth of their runs (prefix filter, under any order
+of the runs that is the same for all texts), have about the same length, and share a bucket.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ from graphloom.llm.ragged import U, flat, mix64, shingles, steps, word_hashes, w
 N_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Rounds that a bucket stays live without a new link at any of its members; its pivots in rounds after the first.
+#: Rounds that a bucket proposes stars without a new link at any of its members, before it waits for the exact
+#: comparison; its pivots in rounds after the first.
 PATIENCE, PIVOTS = 2, 4
+#: Counters of the sketch of how common runs are (any number is exact); texts in one block of a common run's comparison.
+COUNTERS, BLOCK = 2**20, 256
 #: Cells of the rank axis end at 4**LOWEST, 4**(LOWEST+1), ...; the first starts at 0.
 LOWEST = -4
 _POISSON: dict[float, np.ndarray] = {}
@@ -154,6 +159,76 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "ca", "cb")], names=["a", "b", "ca", "cb"])
 
 
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every run, the k-th occurrence of a run in a text being an element of its own."""
+    doc, element, weight = weighted_shingles(texts)
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(doc, weight), mix64(np.repeat(element, weight) + copy.astype(np.uint64) * U(0xA24BAED4963EE407))
+
+
+def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for a, b in steps(batch.column("_text")):
+            total += np.bincount((_units(batch.column("_text")[a:b])[1] % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefixes(level):
+    """(_id, size, prefix): the runs of each text by level (of how common they are) and hash, as far as a pair at the
+    threshold must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in steps(batch.column("_text")):
+                doc, h = _units(batch.column("_text")[a:b])
+                order = np.lexsort((h, level.value[(h % U(COUNTERS)).astype(np.int64)], doc))
+                doc, h = doc[order], h[order]
+                size = np.bincount(doc, minlength=b - a)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                length = size - np.ceil(THRESHOLD * size - 1e-6).astype(np.int64) + 1
+                h = h[nth < length[doc]]
+                ends = np.concatenate(([0], np.cumsum(np.minimum(length, size)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], pa.array(size.astype(np.int64)), lists], names=["_id", "size", "prefix"])
+
+    return run
+
+
+def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """The pairs (a, b, ca, cb) of different classes that share a bucket of `live` and may reach the threshold; none
+    that does is left out. None if no bucket holds several classes."""
+    sc = live.sparkSession.sparkContext
+    with_class = live.join(classes.select("_rep", "c"), "_rep")
+    mixed = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    members = durable(with_class.join(mixed, "key").groupBy("_rep", "c").agg(F.collect_list("key").alias("keys")), "unresolved")
+    if members.isEmpty():
+        return None
+    some = durable(texts.join(members.select(F.col("_rep").alias("_id")), "_id", "left_semi"), "unresolved-texts")
+    counts = some.mapInArrow(_run_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(COUNTERS, dtype=np.uint8)
+    level[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy()) * 4 + 1
+    prefix = some.mapInArrow(_prefixes(sc.broadcast(level)), "_id long, size long, prefix array<long>")
+    posted = durable(prefix.select(F.col("_id").alias("_rep"), "size", F.posexplode("prefix").alias("at", "run")), "prefixes")
+    blocks = posted.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    common = posted.join(blocks, "run").join(members, "_rep").withColumn("block", F.pmod(F.xxhash64("_rep"), F.col("blocks")).cast("int"))
+    common = durable(common.select("run", "blocks", "block", F.struct("_rep", "c", "size", "at", "keys").alias("m")), "postings")
+    # The texts of a run meet block by block, each pair of blocks in a cell of its own.
+    x = common.select("run", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("m").alias("x"))
+    y = common.select("run", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    # The most that two texts can have in common if they share the run at these two places.
+    most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
+    fit = (small >= THRESHOLD * large - 1e-6) & (most * (1 + THRESHOLD) >= THRESHOLD * (small + large) - 1e-6)
+    # Texts of one block meet once, in the order of their numbers.
+    once = (F.col("i") < F.col("j")) | (F.col("x._rep") < F.col("y._rep"))
+    pairs = x.join(y, ["run", "i", "j"]).where(once & (F.col("x.c") != F.col("y.c")) & fit & F.arrays_overlap("x.keys", "y.keys"))
+    mine, other = F.struct("x._rep", "x.c"), F.struct("y._rep", "y.c")
+    low, high = F.least(mine, other), F.greatest(mine, other)
+    return pairs.select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
@@ -183,18 +258,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     turn, found = 0, []
     while True:
         with_class = live.join(classes, "_rep")
-        # A bucket is live while it holds several classes and some member has gained a link of late. Its pivots are the
+        # A bucket is live while it holds several classes. If some member has gained a link of late, it has pivots: the
         # members of greatest score; they meet all of other classes and leave, so pairs are a few times the members.
         slots = PIVOTS if turn else 1
         member, rank, slot = F.struct("_rep", "c"), F.struct("score", F.xxhash64("_rep", "key")), F.pmod(F.xxhash64("_rep"), F.lit(slots))
         best = F.array_compact(F.array(*[F.max_by(F.when(slot == i, member), F.when(slot == i, rank)) for i in range(slots)]))
-        first = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("f"), F.max("last").alias("last")).where(F.col("lo") < F.col("hi")).where(F.col("last") >= turn - PATIENCE).select("key", "f")
+        first = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("f"), F.max("last").alias("last")).where(F.col("lo") < F.col("hi")).select("key", F.when(F.col("last") >= turn - PATIENCE, F.col("f")).otherwise(F.slice("f", 1, 0)).alias("f"))
         met = durable(with_class.join(first, "key"), "met")
         low, high = F.least(member, F.col("p")), F.greatest(member, F.col("p"))
         # A text meets a pivot once, however many of its buckets share it; a list holds BANDS * PIVOTS entries at most.
         others = F.array_distinct(F.flatten(F.collect_list(F.filter("f", lambda p: p["c"] != F.col("c")))))
         pairs = met.groupBy("_rep", "c").agg(others.alias("f")).select("_rep", "c", F.explode("f").alias("p")).select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
         links = durable(_verify(pairs, texts), "verified")
+        live = met.where(~F.exists("f", lambda x: x["_rep"] == F.col("_rep"))).select("_rep", "key")
         if links.isEmpty():
             break
         found.append(links.select("a", "b"))
@@ -204,7 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hooked = links.select(F.explode(F.array("ca", "cb")).alias("c"), F.least("ca", "cb").alias("to")).groupBy("c").agg(F.min("to").alias("to"))
         gained = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count(F.lit(1)).alias("gain"))
         classes = durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score"), F.when(F.col("gain") > 0, turn).otherwise(F.col("last")).alias("last")), "classes")
-        live = met.where(~F.exists("f", lambda x: x["_rep"] == F.col("_rep"))).select("_rep", "key")
+    # No star gives a link any more. Pairs that no pivot has met are compared now.
+    pairs = _unresolved(live, classes, texts)
+    if pairs is not None:
+        links = durable(_verify(pairs, texts), "verified")
+        if not links.isEmpty():
+            found.append(links.select("a", "b"))
     merged = components(reduce(DataFrame.union, found)) if found else None
     named = reps.select("_sha", F.col("_rep").alias("c"))
     if merged is not None:

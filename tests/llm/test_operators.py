@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -235,6 +236,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(set(want.values())) < len(want)
 
 
+def passage_texts(seed):
+    """220 texts of one passage that reach 0.8 with none, each sharing nearly all its buckets; two of 0.81 that share theirs with them."""
+    rng = np.random.default_rng(seed)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passage, parts = own(100), [own(17) for _ in range(12)]
+    return [" ".join((passage, *three)) for three in combinations(parts, 3)] + [f"{passage} {own(11)}" for _ in range(2)]
+
+
+def test_near_copies_that_share_buckets_with_unlike_texts_only(spark):
+    texts = passage_texts(2)
+    got = {r.doc_id: r.component_id for r in dart_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: min(i, len(texts) - 2) for i in range(len(texts))}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     element = rng.integers(0, 2**63, 300).astype(np.uint64)
