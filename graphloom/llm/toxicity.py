@@ -25,9 +25,9 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 REPLACED, REPEATED = -1.5, -1.0
 #: Bytes of the prefixes that are features besides whole words.
 PREFIXES = (4, 5, 6)
-#: Bounds of the fit: labelled rows (smallest hash of the id), candidate features, smallest support, support at
-#: which a feature without clean rows needs no further reason, least precision.
-FIT_ROWS, CANDIDATES, SUPPORT, SIGNIFICANT, PRECISION = 20_000, 50_000, 3, 6, 0.8
+#: Bounds of the fit: labelled rows (smallest hash of the id), smallest support, support at which a feature without
+#: clean rows needs no further reason, least precision.
+FIT_ROWS, SUPPORT, SIGNIFICANT, PRECISION = 20_000, 3, 6, 0.8
 LETTERS = 27  # a to z, and everything else
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in LOOKALIKES]] = True
@@ -249,12 +249,15 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     # Near copies of one toxic text are one witness.
     witnesses = lambda *wanted: featured(1, *wanted).groupBy("fam").agg(F.min("f").alias("f"))
     seen = witnesses().select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-    wanted = np.sort(np.array([r["f"] for r in seen.orderBy(F.desc("n"), "f").limit(CANDIDATES).select("f").collect()], dtype=np.int64).view(np.uint64))
-    some = sc.broadcast(wanted)
-    clean = featured(0, some).select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    n_clean = {r["f"]: r["n"] for r in clean.collect()}
-    incidence = [[f for f in r["f"] if n_clean.get(f, 0) <= 50] for r in witnesses(some).collect()]
-    lexicon, unexplained = _cover(incidence, n_clean)
+    clean = featured(0).select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("clean"))
+    # Only features that are precise enough leave Spark, however many rows they have.
+    n, n_clean = F.col("n"), F.coalesce("clean", F.lit(0))
+    fit = seen.join(clean, "f", "left").where(n >= PRECISION * (n + n_clean)).select("f", n_clean.alias("clean")).toArrow()
+    chosen = fit.column("f").to_numpy()
+    clean_rows = dict(zip(chosen.tolist(), fit.column("clean").to_pylist(), strict=True))
+    some = sc.broadcast(np.sort(chosen.view(np.uint64)))
+    incidence = [r["f"] for r in witnesses(some).collect()]
+    lexicon, unexplained = _cover(incidence, clean_rows)
     total = max(1, rows.count())
     keys = np.array(list(lexicon), dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)

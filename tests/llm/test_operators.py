@@ -424,6 +424,17 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r.predicted for r in held) >= 0.4 * sum(want[r.doc_id] for r in held)
 
 
+def test_precise_words_are_learned_whatever_their_number_of_clean_rows(spark):
+    rng = np.random.default_rng(3)
+    own = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(8))
+    docs = docs_of(spark, [f"{own()} grumpel" for _ in range(660)] + [own() for _ in range(300)])
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(960)], "doc_id long, toxic int")
+    model = toxicity.character_model(docs)
+    lexicon = toxicity.train(docs, labels, model)
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, ["grumpel", "tree"]), model, lexicon).collect()}
+    assert got[0] >= 0.9 > got[1]
+
+
 def test_obfuscated_words_are_restored(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     model = toxicity.character_model(docs)
