@@ -235,26 +235,21 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verified, "a long, b long, ca long, cb long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, component_id (smallest id of its class), kept (id = component_id).
-
-    Two texts are linked if they share a band bucket and their weighted Jaccard similarity over runs of five words is
-    0.8 or more; classes are the connected components. A text of one to four words is a single run; null, empty and
-    blank texts have no run, link with nothing and stay. Identical texts are one class from the start and enter the
-    search once. Rows with a null id stay apart, with a null class, and are kept. Repeated rows share a class. Other
-    columns are ignored.
-    """
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the columns _id, _sha (digest of the text), component_id, kept."""
     text = text_or_empty(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.sha2(text, 256)).alias("_sha"))
     signed = durable(slim.mapInArrow(_signed, "_id long, _sha binary, keys array<long>"), "signed")
-    # One row stands for identical texts; the keys follow from the text.
-    reps = durable(signed.where(F.col("_id").isNotNull() & (F.size("keys") > 0)).groupBy("_sha").agg(F.min(F.struct("_id", "keys")).alias("r")).select("_sha", F.col("r")["_id"].alias("_rep"), F.col("r")["keys"].alias("keys")), "reps")
+    # One row stands for identical texts; the keys follow from the text. Texts are told apart by a number of their own,
+    # fixed once the table is written, since different texts may have one id.
+    reps = durable(signed.where(F.col("_id").isNotNull() & (F.size("keys") > 0)).groupBy("_sha").agg(F.min(F.struct("_id", "keys")).alias("r")).select("_sha", F.monotonically_increasing_id().alias("_rep"), F.col("r")["_id"].alias("_first"), F.col("r")["keys"].alias("keys")), "reps")
     buckets = reps.select("_rep", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = durable(buckets.join(shared, "key").select("_rep", "key"), "buckets")
     # A text's score chooses pivots: at first the buckets it shares, then the links it has as well.
     classes = durable(live.groupBy("_rep").agg(F.count(F.lit(1)).alias("score")).withColumns({"c": F.col("_rep"), "last": F.lit(0)}), "classes")
-    texts = durable(slim.select("_id", "_text").join(classes.select(F.col("_rep").alias("_id")), "_id", "left_semi"), "texts")
+    searched = reps.join(classes.select("_rep"), "_rep", "left_semi").select("_sha", F.col("_first").alias("_id"), "_rep")
+    texts = durable(slim.join(searched, ["_id", "_sha"]).select(F.col("_rep").alias("_id"), "_text"), "texts")
     turn, found = 0, []
     while True:
         with_class = live.join(classes, "_rep")
@@ -287,15 +282,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not links.isEmpty():
             found.append(links.select("a", "b"))
     merged = components(reduce(DataFrame.union, found)) if found else None
-    named = reps.select("_sha", F.col("_rep").alias("c"))
+    named = reps.select("_sha", "_first", F.col("_rep").alias("c"))
     if merged is not None:
-        named = named.join(merged, F.col("c") == F.col("id"), "left").select("_sha", F.coalesce("component", "c").alias("c"))
-    known = signed.select("_id", F.when(F.col("_id").isNotNull() & (F.size("keys") > 0), F.col("_sha")).alias("_sha"))
-    done = known.join(named, "_sha", "left").select("_id", F.coalesce("c", "_id").alias("component_id"))
-    return done.select(F.col("_id").alias(id_col), "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        named = named.join(merged, F.col("c") == F.col("id"), "left").select("_sha", "_first", F.coalesce("component", "c").alias("c"))
+    tops = named.groupBy("c").agg(F.min(F.struct("_first", "_sha")).alias("top"))
+    named = named.join(tops, "c").select("_sha", "top")
+    known = signed.select("_id", F.col("_sha").alias("_text_sha"), F.when(F.col("_id").isNotNull() & (F.size("keys") > 0), F.col("_sha")).alias("_sha"))
+    done = known.join(named, "_sha", "left")
+    kept = F.col("top").isNull() | ((F.col("_id") == F.col("top")["_first"]) & (F.col("_text_sha") == F.col("top")["_sha"]))
+    return done.select("_id", F.col("_text_sha").alias("_sha"), F.coalesce(F.col("top")["_first"], F.col("_id")).alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, component_id (smallest id of its class), kept (id = component_id).
+
+    Two texts are linked if they share a band bucket and their weighted Jaccard similarity over runs of five words is
+    0.8 or more; classes are the connected components. A text of one to four words is a single run; null, empty and
+    blank texts have no run, link with nothing and stay. Identical texts are one class from the start and enter the
+    search once. Rows with a null id stay apart, with a null class, and are kept. Repeated rows share a class.
+    Different texts of one id are classed apart; if they are the smallest of one class, the smallest digest is kept.
+    Other columns are ignored.
+    """
+    return _marked(docs, id_col, text_col).select(F.col("_id").alias(id_col), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns with one document of each class."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The input's rows and columns with one document of each class; a row goes by its id and text, not by its id alone."""
+    gone = _marked(docs, id_col, text_col).where("NOT kept").select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_sha")).distinct()
+    sha = F.unhex(F.sha2(text_or_empty(docs[text_col]), 256))
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")

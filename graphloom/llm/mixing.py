@@ -77,15 +77,15 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of the input: a row per epoch, the row at the cut holding its first words only."""
-    slim = docs.select("doc_id", "source", n_words("text").alias("_n"))
-    plan = mix(slim, size=F.col("_n")).where("_taken > 0").groupBy("doc_id").agg(F.max("_size").alias("_size"), F.max("_taken").alias("_taken"))
-    full = docs.join(plan, "doc_id")
+    # The words taken stand on the row itself: ids may be null, or shared by several texts.
+    rows = docs.select("doc_id", "source", n_words("text").alias("_n"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    full = mix(rows, size=F.col("_n")).where("_taken > 0").select("_doc", "_size", "_taken", F.col("_doc")["text"].alias("_body"))
     epochs = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     copies = full.withColumn("_epoch", F.explode(F.sequence(F.lit(1), epochs)))
     left = F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(left, F.lit(1)).cast("int")), "")
-    text = F.when(left < F.col("_size"), first_words).otherwise(F.col("text"))
-    cut = copies.withColumn("text", text)
+    first_words = F.array_join(F.slice(F.regexp_extract_all("_body", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(left, F.lit(1)).cast("int")), "")
+    cut = copies.select("_doc", F.when(left < F.col("_size"), first_words).otherwise(F.col("_body")).alias("_body"))
+    new = {"text": F.col("_body")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        new["n_chars"] = F.char_length("_body").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

@@ -382,6 +382,22 @@ def test_mixed_documents_hold_the_words_taken(spark):
 # --- op9 ---------------------------------------------------------------------------------------------------------
 
 
+def test_rows_of_no_id_or_of_one_id_are_mixed_and_dropped_by_row(spark):
+    rows = [(None, "a b c", "en", "s0", 5), (None, "d e", "en", "s1", 3), (7, "f g h i", "en", "s0", 7), (7, "j", "en", "s1", 1), (8, "k l m n o", "en", "s2", 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source, r.doc_id] += r._taken
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source, r.doc_id] += n_words(r.text)
+    assert got == +taken and any(k[1] is None for k in got)
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = spark.createDataFrame([(1, long, "en", "s", 0), (2, long + " end", "en", "s", 0), (2, other, "en", "s", 0), (None, long, "en", "s", 0)], DOCS)
+    kept = dart_minhash.drop_near_duplicates(near).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, long), (1, long), (2, other)])
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     import public_tokenizers
     import sentencepiece
