@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.ragged import flat, steps, words
 
 #: Trigram buckets, additive smoothing, EM rounds of the full fit and of each refit, penalty per further language.
-BUCKETS, SMOOTHING, ROUNDS, REFITS, PENALTY, LARGEST_SET = 1 << 16, 0.05, 10, 4, 3.0, 4
+BUCKETS, SMOOTHING, ROUNDS, REFITS, PENALTY = 1 << 16, 0.05, 10, 4, 3.0
 
 #: Bytes of text that a training task counts at once.
 TRAIN_BYTES = 500_000
@@ -93,7 +93,7 @@ def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     order = np.argsort(-share, axis=1, kind="stable")
     n = np.diff(np.append(first, len(at)))
     best, best_fit = None, None
-    for size in range(1, min(n_langs, LARGEST_SET) + 1):
+    for size in range(1, n_langs + 1):
         mask = np.zeros_like(share)
         np.put_along_axis(mask, order[:, :size], 1, axis=1)
         start = mask * (share + 1e-3)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,18 @@ def test_language_mixtures_and_hard_texts(spark):
 # --- op7 ---------------------------------------------------------------------------------------------------------
 
 
+def test_all_languages_of_a_text_get_a_share():
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    rng = np.random.default_rng(5)
+    text = lambda i: " ".join("".join(rng.choice(list(letters[i]), 6)) for _ in range(200))
+    table = np.full((language_id.BUCKETS, 6), 0.05)
+    for i in range(6):
+        bucket, data, _ = language_id._trigrams(pa.array([text(i)]))
+        np.add.at(table[:, i], bucket[: len(data)], 1)
+    share = language_id.mixtures(pa.array([" ".join(text(i) for i in range(5)), text(2)]), np.log(table / table.sum(axis=0)).astype(np.float32))
+    assert np.allclose(share[0], [0.2] * 5 + [0], atol=0.02) and np.allclose(share[1], [0, 0, 1, 0, 0, 0], atol=0.02)
+
+
 def check_packing(rows, sizes, capacity):
     by_doc, bins = defaultdict(list), defaultdict(list)
     for r in rows:
