@@ -10,9 +10,10 @@ document however long it is; a document that leaves a coordinate empty throws on
 Bands propose pairs in the shape of stars (each member of a bucket with the bucket's pivot), so a bucket's pairs are as
 many as its members; every pair is then verified on whole texts, and verified links make components. The pivot is the
 member that shares most buckets, which is the original among its copies. Buckets that still hold several classes propose
-again, with other pivots (those with most links), while their members gain links. What then remains unresolved is
-compared exactly: two texts at the threshold share one of the rarest fifth of their runs (prefix filter, under any order
-of the runs that is the same for all texts), have about the same length, and share a bucket.
+once more, with other pivots (those with most links). What then remains unresolved is compared exactly, rarest runs
+first: two texts at the threshold share one of the rarest fifth of their runs, and the first that they share stands so
+early in both that enough runs follow it. Texts that have a passage in common, however many they are, differ in their
+rare runs and never meet, and texts of one class are not paired. So no link is lost to the choice of pivots.
 """
 
 from __future__ import annotations
@@ -33,11 +34,10 @@ from graphloom.llm.ragged import U, flat, mix64, shingles, steps, word_hashes, w
 N_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Rounds that a bucket proposes stars without a new link at any of its members, before it waits for the exact
-#: comparison; its pivots in rounds after the first.
-PATIENCE, PIVOTS = 2, 4
-#: Counters of the sketch of how common runs are (any number is exact); texts in one block of a common run's comparison.
-COUNTERS, BLOCK = 2**20, 256
+#: Rounds of stars before the exact comparison, and pivots of a bucket in the second.
+STARS, PIVOTS = 2, 4
+#: Texts in one block of a common run's comparison.
+BLOCK = 2_048
 #: Cells of the rank axis end at 4**LOWEST, 4**(LOWEST+1), ...; the first starts at 0.
 LOWEST = -4
 _POISSON: dict[float, np.ndarray] = {}
@@ -166,67 +166,68 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(doc, weight), mix64(np.repeat(element, weight) + copy.astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
-def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, dtype=np.int64)
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_rep, runs): all elements of each text."""
     for batch in batches:
         for a, b in steps(batch.column("_text")):
-            total += np.bincount((_units(batch.column("_text")[a:b])[1] % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
-
-
-def _prefixes(level):
-    """(_id, size, prefix): the runs of each text by level (of how common they are) and hash, as far as a pair at the
-    threshold must share one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in steps(batch.column("_text")):
-                doc, h = _units(batch.column("_text")[a:b])
-                order = np.lexsort((h, level.value[(h % U(COUNTERS)).astype(np.int64)], doc))
-                doc, h = doc[order], h[order]
-                size = np.bincount(doc, minlength=b - a)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                length = size - np.ceil(THRESHOLD * size - 1e-6).astype(np.int64) + 1
-                h = h[nth < length[doc]]
-                ends = np.concatenate(([0], np.cumsum(np.minimum(length, size)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], pa.array(size.astype(np.int64)), lists], names=["_id", "size", "prefix"])
-
-    return run
+            doc, h = _units(batch.column("_text")[a:b])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], lists], names=["_rep", "runs"])
+
+
+def _postings(some: DataFrame) -> DataFrame:
+    """(_rep, size, run, at): the runs that a text shares with others, at their places by (how common, hash), as far as
+    a pair at the threshold must share one. Runs that no other text has come first and are only counted."""
+    listed = durable(some.mapInArrow(_listed, "_rep long, runs array<long>"), "runs")
+    each = listed.select("_rep", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    counts = durable(each.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "run-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # A run that makes up a thousandth of all or more is joined by broadcast: a thousand rows at most.
+    hot = F.broadcast(counts.where(F.col("n") * 1000 >= total))
+    rest = each.join(hot.select("run"), "run", "left_anti").join(counts.where(F.col("n") * 1000 < total), "run")
+    shared = each.join(hot, "run").unionByName(rest)
+    by_text = shared.groupBy("_rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("s"))
+    alone = F.col("size") - F.size("s")
+    length = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-6).cast("int") + 1
+    placed = by_text.select("_rep", "size", alone.alias("alone"), F.posexplode(F.slice("s", 1, F.greatest(length - alone, F.lit(0)))).alias("i", "r"))
+    return placed.select("_rep", "size", F.col("r")["run"].alias("run"), (F.col("alone") + F.col("i")).alias("at"))
 
 
 def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """The pairs (a, b, ca, cb) of different classes that share a bucket of `live` and may reach the threshold; none
     that does is left out. None if no bucket holds several classes."""
-    sc = live.sparkSession.sparkContext
     with_class = live.join(classes.select("_rep", "c"), "_rep")
     mixed = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     members = durable(with_class.join(mixed, "key").groupBy("_rep", "c").agg(F.collect_list("key").alias("keys")), "unresolved")
     if members.isEmpty():
         return None
-    some = durable(texts.join(members.select(F.col("_rep").alias("_id")), "_id", "left_semi"), "unresolved-texts")
-    counts = some.mapInArrow(_run_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    level = np.zeros(COUNTERS, dtype=np.uint8)
-    level[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy()) * 4 + 1
-    prefix = some.mapInArrow(_prefixes(sc.broadcast(level)), "_id long, size long, prefix array<long>")
-    posted = durable(prefix.select(F.col("_id").alias("_rep"), "size", F.posexplode("prefix").alias("at", "run")), "prefixes")
-    blocks = posted.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    common = posted.join(blocks, "run").join(members, "_rep").withColumn("block", F.pmod(F.xxhash64("_rep"), F.col("blocks")).cast("int"))
-    common = durable(common.select("run", "blocks", "block", F.struct("_rep", "c", "size", "at", "keys").alias("m")), "postings")
-    # The texts of a run meet block by block, each pair of blocks in a cell of its own.
-    x = common.select("run", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("m").alias("x"))
-    y = common.select("run", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
-    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    # The most that two texts can have in common if they share the run at these two places.
-    most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
-    fit = (small >= THRESHOLD * large - 1e-6) & (most * (1 + THRESHOLD) >= THRESHOLD * (small + large) - 1e-6)
+    some = texts.join(members.select(F.col("_rep").alias("_id")), "_id", "left_semi")
+    posted = durable(_postings(some).join(members.select("_rep", "c"), "_rep"), "postings")
+    # The first run that two texts share has min(size - at) runs from there on at most, all that they can have in common.
+    # That many are too few unless it stands within the first ninth of the smaller text (2t / (1 + t) = 8/9).
+    early = F.col("size") - F.col("at") >= 2 * THRESHOLD / (1 + THRESHOLD) * F.col("size") - 1e-6
+    per = durable(posted.groupBy("run", "c").agg(F.count(F.lit(1)).alias("n"), F.max(early).alias("early")), "run-classes")
+    # A run's texts meet block by block. A class that fills a block has blocks of its own, which never meet each other.
+    alone = F.col("n") >= BLOCK
+    useful = per.groupBy("run").agg(F.count(F.lit(1)).alias("k"), F.max("early").alias("early"), F.sum(F.when(~alone, F.col("n"))).alias("rest")).where("k > 1 AND early").select("run", "rest")
+    cells = per.join(useful, "run").select("run", "c", F.when(alone, F.col("c")).otherwise(-1).alias("g"), F.ceil(F.when(alone, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
+    placed = posted.join(cells, ["run", "c"]).select("run", F.struct("g", F.pmod(F.xxhash64("_rep"), "blocks").alias("i")).alias("block"), F.struct("_rep", "c", "size", "at").alias("m"))
+    placed = durable(placed, "blocks")
+    block = placed.select("run", "block").distinct()
+    small, large = block.withColumnRenamed("block", "p"), block.withColumnRenamed("block", "q")
+    met = small.join(large, "run").where((F.col("p") <= F.col("q")) & ((F.col("p")["g"] != F.col("q")["g"]) | (F.col("p")["g"] < 0)))
+    x, y = placed.select("run", F.col("block").alias("p"), F.col("m").alias("x")), placed.select("run", F.col("block").alias("q"), F.col("m").alias("y"))
+    most = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    fit = most * (1 + THRESHOLD) >= THRESHOLD * (F.col("x.size") + F.col("y.size")) - 1e-6
     # Texts of one block meet once, in the order of their numbers.
-    once = (F.col("i") < F.col("j")) | (F.col("x._rep") < F.col("y._rep"))
-    pairs = x.join(y, ["run", "i", "j"]).where(once & (F.col("x.c") != F.col("y.c")) & fit & F.arrays_overlap("x.keys", "y.keys"))
+    once = (F.col("p") < F.col("q")) | (F.col("x._rep") < F.col("y._rep"))
+    pairs = met.join(x, ["run", "p"]).join(y, ["run", "q"]).where((F.col("x.c") != F.col("y.c")) & fit & once)
     mine, other = F.struct("x._rep", "x.c"), F.struct("y._rep", "y.c")
     low, high = F.least(mine, other), F.greatest(mine, other)
-    return pairs.select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
+    pairs = pairs.select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
+    keys = lambda c: members.select(F.col("_rep").alias(c), F.col("keys").alias(f"keys_{c}"))
+    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b", "ca", "cb")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,18 +248,18 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = durable(buckets.join(shared, "key").select("_rep", "key"), "buckets")
     # A text's score chooses pivots: at first the buckets it shares, then the links it has as well.
-    classes = durable(live.groupBy("_rep").agg(F.count(F.lit(1)).alias("score")).withColumns({"c": F.col("_rep"), "last": F.lit(0)}), "classes")
+    classes = durable(live.groupBy("_rep").agg(F.count(F.lit(1)).alias("score")).withColumn("c", F.col("_rep")), "classes")
     searched = reps.join(classes.select("_rep"), "_rep", "left_semi").select("_sha", F.col("_first").alias("_id"), "_rep")
     texts = durable(slim.join(searched, ["_id", "_sha"]).select(F.col("_rep").alias("_id"), "_text"), "texts")
-    turn, found = 0, []
-    while True:
+    found = []
+    for turn in range(STARS):
         with_class = live.join(classes, "_rep")
-        # A bucket is live while it holds several classes. If some member has gained a link of late, it has pivots: the
-        # members of greatest score; they meet all of other classes and leave, so pairs are a few times the members.
+        # A bucket that holds several classes has pivots, its members of greatest score; they meet all of other classes
+        # and leave, so pairs are a few times the members.
         slots = PIVOTS if turn else 1
         member, rank, slot = F.struct("_rep", "c"), F.struct("score", F.xxhash64("_rep", "key")), F.pmod(F.xxhash64("_rep"), F.lit(slots))
         best = F.array_compact(F.array(*[F.max_by(F.when(slot == i, member), F.when(slot == i, rank)) for i in range(slots)]))
-        first = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("f"), F.max("last").alias("last")).where(F.col("lo") < F.col("hi")).select("key", F.when(F.col("last") >= turn - PATIENCE, F.col("f")).otherwise(F.slice("f", 1, 0)).alias("f"))
+        first = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("f")).where(F.col("lo") < F.col("hi")).select("key", "f")
         met = durable(with_class.join(first, "key"), "met")
         low, high = F.least(member, F.col("p")), F.greatest(member, F.col("p"))
         # A text meets a pivot once, however many of its buckets share it; a list holds BANDS * PIVOTS entries at most.
@@ -269,13 +270,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if links.isEmpty():
             break
         found.append(links.select("a", "b"))
-        turn += 1
         # One step of hooking to the smallest linked class is enough here: it merges stars, and a pair of classes that
-        # stays apart is only compared again. The components of all links are taken once, after the last round.
+        # stays apart is only compared again. The components of all links are taken once, at the end.
         hooked = links.select(F.explode(F.array("ca", "cb")).alias("c"), F.least("ca", "cb").alias("to")).groupBy("c").agg(F.min("to").alias("to"))
         gained = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count(F.lit(1)).alias("gain"))
-        classes = durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score"), F.when(F.col("gain") > 0, turn).otherwise(F.col("last")).alias("last")), "classes")
-    # No star gives a link any more. Pairs that no pivot has met are compared now.
+        classes = durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score")), "classes")
+    # Pairs that no pivot has met are compared now.
     pairs = _unresolved(live, classes, texts)
     if pairs is not None:
         links = durable(_verify(pairs, texts), "verified")
