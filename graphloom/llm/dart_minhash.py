@@ -36,8 +36,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Rounds of stars before the exact comparison, and pivots of a bucket in the second.
 STARS, PIVOTS = 2, 4
-#: Texts in one block of a common run's comparison.
-BLOCK = 2_048
+#: Texts in one block of a common run's comparison; bits of the sketch that bounds how much two texts differ.
+BLOCK, BITS = 2_048, 512
 #: Cells of the rank axis end at 4**LOWEST, 4**(LOWEST+1), ...; the first starts at 0.
 LOWEST = -4
 _POISSON: dict[float, np.ndarray] = {}
@@ -70,6 +70,19 @@ def weighted_shingles(texts: pa.Array, n: int = N_WORDS) -> tuple[np.ndarray, np
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def units(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of unit elements: the k-th occurrence of a run in a text is one of its own."""
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(doc, weight), mix64(np.repeat(element, weight) + copy.astype(np.uint64) * U(0xA24BAED4963EE407))
+
+
+def sketches(doc: np.ndarray, unit: np.ndarray, n_docs: int) -> np.ndarray:
+    """n_docs x BITS / 64 words: bit i tells whether an odd number of the text's units fall in cell i. A unit that only
+    one of two texts has turns one bit, so sketches differ in no more bits than texts in units."""
+    odd = np.bincount(doc * BITS + (unit >> U(20)).astype(np.int64) % BITS, minlength=n_docs * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_docs, BITS), axis=1).view(np.int64)
+
+
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """n_docs x k signature of 32-bit dart ids; rows of documents without elements are all zero."""
     total = np.bincount(doc, weights=weight, minlength=n_docs)
@@ -77,9 +90,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     low = np.zeros(n_docs)
     high = np.divide(k * math.log(k) + 2 * k, total, out=np.zeros(n_docs), where=total > 0)
     # An integer weight w is w unit cells of weight, so that a larger weight owns all darts of a smaller one.
-    unit_doc = np.repeat(doc, weight)
-    copy = np.arange(len(unit_doc)) - np.repeat(np.cumsum(weight) - weight, weight)
-    unit = mix64(np.repeat(element, weight) + copy.astype(np.uint64) * U(0xA24BAED4963EE407))
+    unit_doc, unit = units(doc, element, weight)
     live = np.arange(len(unit))
     while len(live):
         d, u = unit_doc[live], unit[live]
@@ -124,7 +135,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The band keys of each text, none for a text without words."""
+    """The band keys of each text, none for a text without words, its size in runs and its sketch."""
     for batch in batches:
         texts = batch.column("_text")
         for a, b in steps(texts):
@@ -133,7 +144,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.bincount(doc, minlength=b - a) > 0
             ends = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], batch.column("_sha")[a:b], lists], names=["_id", "_sha", "keys"])
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(sketches(*units(doc, element, count), b - a).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+            size = pa.array(np.bincount(doc, weights=count, minlength=b - a).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], batch.column("_sha")[a:b], lists, size, sketch], names=["_id", "_sha", "keys", "size", "sketch"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +172,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "ca", "cb")], names=["a", "b", "ca", "cb"])
 
 
-def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every run, the k-th occurrence of a run in a text being an element of its own."""
-    doc, element, weight = weighted_shingles(texts)
-    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    return np.repeat(doc, weight), mix64(np.repeat(element, weight) + copy.astype(np.uint64) * U(0xA24BAED4963EE407))
-
-
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_rep, runs): all elements of each text."""
     for batch in batches:
         for a, b in steps(batch.column("_text")):
-            doc, h = _units(batch.column("_text")[a:b])
+            doc, h = units(*weighted_shingles(batch.column("_text")[a:b]))
             ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], lists], names=["_rep", "runs"])
@@ -180,7 +186,7 @@ def _postings(some: DataFrame) -> DataFrame:
     """(_rep, size, run, at): the runs that a text shares with others, at their places by (how common, hash), as far as
     a pair at the threshold must share one. Runs that no other text has come first and are only counted."""
     listed = durable(some.mapInArrow(_listed, "_rep long, runs array<long>"), "runs")
-    each = listed.select("_rep", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    each = listed.select("_rep", F.size("runs").cast("long").alias("size"), F.explode("runs").alias("run"))
     counts = durable(each.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "run-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # A run that makes up a thousandth of all or more is joined by broadcast: a thousand rows at most.
@@ -189,12 +195,24 @@ def _postings(some: DataFrame) -> DataFrame:
     shared = each.join(hot, "run").unionByName(rest)
     by_text = shared.groupBy("_rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("s"))
     alone = F.col("size") - F.size("s")
-    length = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-6).cast("int") + 1
-    placed = by_text.select("_rep", "size", alone.alias("alone"), F.posexplode(F.slice("s", 1, F.greatest(length - alone, F.lit(0)))).alias("i", "r"))
+    length = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-6) + 1
+    placed = by_text.select("_rep", "size", alone.alias("alone"), F.posexplode(F.slice("s", 1, F.greatest(length - alone, F.lit(0)).cast("int"))).alias("i", "r"))
     return placed.select("_rep", "size", F.col("r")["run"].alias("run"), (F.col("alone") + F.col("i")).alias("at"))
 
 
-def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _tasks(rows: DataFrame, per_task: int) -> int:
+    """Partitions for work that is far heavier than its bytes tell, which adaptive coalescing would put into one task."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // per_task)
+
+
+def _differ_little(x, y, size_x, size_y):
+    """Whether two sketches leave it open that the texts reach the threshold: those have at most a ninth of their units
+    alone."""
+    bits = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return bits <= (1 - THRESHOLD) / (1 + THRESHOLD) * (size_x + size_y) + 1e-6
+
+
+def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame | None:
     """The pairs (a, b, ca, cb) of different classes that share a bucket of `live` and may reach the threshold; none
     that does is left out. None if no bucket holds several classes."""
     with_class = live.join(classes.select("_rep", "c"), "_rep")
@@ -203,7 +221,7 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     if members.isEmpty():
         return None
     some = texts.join(members.select(F.col("_rep").alias("_id")), "_id", "left_semi")
-    posted = durable(_postings(some).join(members.select("_rep", "c"), "_rep"), "postings")
+    posted = durable(_postings(some).join(members.select("_rep", "c"), "_rep").join(known.select("_rep", "sketch"), "_rep"), "postings")
     # The first run that two texts share has min(size - at) runs from there on at most, all that they can have in common.
     # That many are too few unless it stands within the first ninth of the smaller text (2t / (1 + t) = 8/9).
     early = F.col("size") - F.col("at") >= 2 * THRESHOLD / (1 + THRESHOLD) * F.col("size") - 1e-6
@@ -212,7 +230,7 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     alone = F.col("n") >= BLOCK
     useful = per.groupBy("run").agg(F.count(F.lit(1)).alias("k"), F.max("early").alias("early"), F.sum(F.when(~alone, F.col("n"))).alias("rest")).where("k > 1 AND early").select("run", "rest")
     cells = per.join(useful, "run").select("run", "c", F.when(alone, F.col("c")).otherwise(-1).alias("g"), F.ceil(F.when(alone, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
-    placed = posted.join(cells, ["run", "c"]).select("run", F.struct("g", F.pmod(F.xxhash64("_rep"), "blocks").alias("i")).alias("block"), F.struct("_rep", "c", "size", "at").alias("m"))
+    placed = posted.join(cells, ["run", "c"]).select("run", F.struct("g", F.pmod(F.xxhash64("_rep"), "blocks").alias("i")).alias("block"), F.struct("_rep", "c", "size", "at", "sketch").alias("m"))
     placed = durable(placed, "blocks")
     block = placed.select("run", "block").distinct()
     small, large = block.withColumnRenamed("block", "p"), block.withColumnRenamed("block", "q")
@@ -222,7 +240,8 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     fit = most * (1 + THRESHOLD) >= THRESHOLD * (F.col("x.size") + F.col("y.size")) - 1e-6
     # Texts of one block meet once, in the order of their numbers.
     once = (F.col("p") < F.col("q")) | (F.col("x._rep") < F.col("y._rep"))
-    pairs = met.join(x, ["run", "p"]).join(y, ["run", "q"]).where((F.col("x.c") != F.col("y.c")) & fit & once)
+    close = _differ_little(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"))
+    pairs = met.join(x, ["run", "p"]).repartition(_tasks(placed, 100_000), "run", "q").join(y, ["run", "q"]).where((F.col("x.c") != F.col("y.c")) & fit & once & close)
     mine, other = F.struct("x._rep", "x.c"), F.struct("y._rep", "y.c")
     low, high = F.least(mine, other), F.greatest(mine, other)
     pairs = pairs.select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
@@ -230,27 +249,32 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     return pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b", "ca", "cb")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose whole texts reach the threshold; texts are fetched for those only that their sketches leave open."""
+    sides = [known.select(F.col("_rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_differ_little(F.col("sketch_a"), F.col("sketch_b"), F.col("size_a"), F.col("size_b"))).select("a", "b", "ca", "cb")
+    pairs = durable(pairs, "pairs")
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verified, "a long, b long, ca long, cb long")
+    return pairs.join(a, "a").repartition(_tasks(pairs, 20_000), "b").join(b, "b").select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verified, "a long, b long, ca long, cb long")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates with the columns _id, _sha (digest of the text), component_id, kept."""
     text = text_or_empty(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.sha2(text, 256)).alias("_sha"))
-    signed = durable(slim.mapInArrow(_signed, "_id long, _sha binary, keys array<long>"), "signed")
+    signed = durable(slim.mapInArrow(_signed, "_id long, _sha binary, keys array<long>, size long, sketch array<long>"), "signed")
     # One row stands for identical texts; the keys follow from the text. Texts are told apart by a number of their own,
     # fixed once the table is written, since different texts may have one id.
-    reps = durable(signed.where(F.col("_id").isNotNull() & (F.size("keys") > 0)).groupBy("_sha").agg(F.min(F.struct("_id", "keys")).alias("r")).select("_sha", F.monotonically_increasing_id().alias("_rep"), F.col("r")["_id"].alias("_first"), F.col("r")["keys"].alias("keys")), "reps")
+    reps = durable(signed.where(F.col("_id").isNotNull() & (F.size("keys") > 0)).groupBy("_sha").agg(F.min(F.struct("_id", "keys", "size", "sketch")).alias("r")).select("_sha", F.monotonically_increasing_id().alias("_rep"), F.col("r")["_id"].alias("_first"), "r.keys", "r.size", "r.sketch"), "reps")
     buckets = reps.select("_rep", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = durable(buckets.join(shared, "key").select("_rep", "key"), "buckets")
     # A text's score chooses pivots: at first the buckets it shares, then the links it has as well.
     classes = durable(live.groupBy("_rep").agg(F.count(F.lit(1)).alias("score")).withColumn("c", F.col("_rep")), "classes")
-    searched = reps.join(classes.select("_rep"), "_rep", "left_semi").select("_sha", F.col("_first").alias("_id"), "_rep")
-    texts = durable(slim.join(searched, ["_id", "_sha"]).select(F.col("_rep").alias("_id"), "_text"), "texts")
+    searched = durable(reps.join(classes.select("_rep"), "_rep", "left_semi").select("_sha", F.col("_first").alias("_id"), "_rep", "size", "sketch"), "searched")
+    known = searched.select("_rep", "size", "sketch")
+    texts = durable(slim.join(searched.drop("size", "sketch"), ["_id", "_sha"]).select(F.col("_rep").alias("_id"), "_text"), "texts")
     found = []
     for turn in range(STARS):
         with_class = live.join(classes, "_rep")
@@ -265,7 +289,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # A text meets a pivot once, however many of its buckets share it; a list holds BANDS * PIVOTS entries at most.
         others = F.array_distinct(F.flatten(F.collect_list(F.filter("f", lambda p: p["c"] != F.col("c")))))
         pairs = met.groupBy("_rep", "c").agg(others.alias("f")).select("_rep", "c", F.explode("f").alias("p")).select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
-        links = durable(_verify(pairs, texts), "verified")
+        links = durable(_verify(pairs, texts, known), "verified")
         live = met.where(~F.exists("f", lambda x: x["_rep"] == F.col("_rep"))).select("_rep", "key")
         if links.isEmpty():
             break
@@ -276,9 +300,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         gained = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count(F.lit(1)).alias("gain"))
         classes = durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score")), "classes")
     # Pairs that no pivot has met are compared now.
-    pairs = _unresolved(live, classes, texts)
+    pairs = _unresolved(live, classes, texts, known)
     if pairs is not None:
-        links = durable(_verify(pairs, texts), "verified")
+        links = durable(_verify(pairs, texts, known), "verified")
         if not links.isEmpty():
             found.append(links.select("a", "b"))
     merged = components(reduce(DataFrame.union, found)) if found else None
