@@ -14,13 +14,14 @@ NEGATED = {"NOT_IS_NULL": "IS_NULL", "NOT_STARTS_WITH": "STARTS_WITH", "NOT_CONT
 
 
 def predicate(df: DataFrame, prop: str, op: str, value: Any = None) -> Column:
-    """A condition on one property; null properties never match, save for the null operations.
+    """A condition on one property; null properties match neither an operation nor its NOT_ form, save for the null operations.
 
     On lists, EQ and NEQ compare elements, GT, GTE, LT and LTE compare sizes (GTE and LTE: or equal), STARTS_WITH and
     ENDS_WITH test a prefix or suffix, CONTAINS that all given elements occur.
     """
     if op in NEGATED:
-        return ~predicate(df, prop, NEGATED[op], value)
+        rule = ~predicate(df, prop, NEGATED[op], value)
+        return rule if op == "NOT_IS_NULL" else F.col(prop).isNotNull() & rule
     c = F.col(prop)
     if op == "IS_NULL":
         return c.isNull()

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The application's folder below spark.checkpoint.dir. Only a local session may leave that unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.gettempdir() + '/graphloom-scratch').rstrip('/')}/graphloom"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}/graphloom-scratch"
+    return f"{shared.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
 
 
 def durable(df: DataFrame, name: str = "round") -> DataFrame:
@@ -21,9 +25,18 @@ def durable(df: DataFrame, name: str = "round") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that durable() wrote and that nothing reads any more."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(df.sparkSession, file.rpartition("/")[0])
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that this application wrote; results that were not yet read or stored are lost with them."""
+    _delete(spark, scratch_dir(spark))

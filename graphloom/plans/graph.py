@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.durable import durable
+
 # Property types by their schema names.
 PROPERTY_TYPES = {
     "boolean": T.BooleanType(),
@@ -35,6 +37,33 @@ class GraphError(ValueError):
     """A name that is unknown or taken, a type that does not fit, a violated constraint or a forbidden write."""
 
 
+class Lazy(dict):
+    """A dict whose values may be functions without arguments, called when first asked for, so that a query opens the
+    tables it reads and no others."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if callable(value):
+            value = value()
+            self[key] = value
+        return value
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def values(self):
+        return [self[k] for k in self]
+
+    def __or__(self, other: dict) -> Lazy:
+        return Lazy([*dict.items(self), *dict.items(other)])
+
+    def without(self, key: str) -> Lazy:
+        return Lazy([(k, v) for k, v in dict.items(self) if k != key])
+
+
 @dataclass(frozen=True)
 class Relationship:
     """A relationship type: its frame and the node types at its ends (None: any)."""
@@ -47,15 +76,22 @@ class Relationship:
 @dataclass(frozen=True)
 class Graph:
     spark: SparkSession
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    rels: dict[str, Relationship] = field(default_factory=dict)
+    nodes: Lazy = field(default_factory=Lazy)
+    rels: Lazy = field(default_factory=Lazy)
     views: dict[str, Callable[[Graph], DataFrame]] = field(default_factory=dict)
     constraints: dict[str, Callable[[Graph], DataFrame]] = field(default_factory=dict)
     traits: dict[str, frozenset[str]] = field(default_factory=dict)
     indexes: frozenset[tuple[str, str, str]] = frozenset()
+    #: Kept term tables of full-text indexes by (type, properties).
+    texts: dict[tuple[str, tuple[str, ...]], DataFrame] = field(default_factory=dict)
 
     # --- frames -----------------------------------------------------------------------------------------------
 
+    def __post_init__(self):
+        for name in ("nodes", "rels"):
+            if not isinstance(getattr(self, name), Lazy):
+                object.__setattr__(self, name, Lazy(getattr(self, name)))
+
     def labels(self, labels: str | Iterable[str] | None = None, exclude: Iterable[str] = ()) -> list[str]:
         """Resolve a label expression: None or '%' is any type, a list is a union, exclude negates."""
         wanted = list(self.nodes) if labels in (None, "%") else [labels] if isinstance(labels, str) else list(labels)
@@ -64,15 +100,25 @@ class Graph:
                 raise GraphError(f"unknown node type {name}")
         return [x for x in wanted if x not in set(exclude)]
 
-    def node_frame(self, labels: str | Iterable[str] | None = None, exclude: Iterable[str] = ()) -> DataFrame:
-        """All nodes of some types with id, type, key and the union of their properties (null where a type lacks one)."""
+    def node_frame(self, labels: str | Iterable[str] | None = None, exclude: Iterable[str] = (), also: Iterable[str] = ()) -> DataFrame:
+        """All nodes of some types with id, type, key and the union of their properties (null where a type lacks one).
+
+        `also` is a conjunction: a node must belong to each of these types or views as well. Excluded views are taken
+        away node by node, since their nodes have another type of their own.
+        """
         frames = []
         for name in self.labels(labels, exclude):
             frame = self.views[name](self) if name in self.views else self.nodes[name]
             frames.append(frame.withColumn("type", F.lit(name)))
         if not frames:
             return self.spark.createDataFrame([], "id long, key string, type string")
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        for name in also:
+            out = out.join(self.node_frame(name).select("id"), "id", "left_semi")
+        for name in exclude:
+            if name in self.views:
+                out = out.join(self.node_frame(name).select("id"), "id", "left_anti")
+        return out
 
     def rel_frame(self, types: str | Iterable[str] | None = None) -> DataFrame:
         """All relationships of some types with id, src, dst, type and the union of their properties."""
@@ -115,11 +161,11 @@ class Graph:
         """Drop a type, its nodes, and all relationships at them."""
         gone = self.node_frame(name).select("id")
         rels = {k: replace(r, frame=r.frame.join(gone, r.frame["src"] == gone["id"], "left_anti").join(gone, F.col("dst") == gone["id"], "left_anti")) for k, r in self.rels.items()}
-        return replace(self, nodes={k: v for k, v in self.nodes.items() if k != name}, rels=rels)
+        return replace(self, nodes=self.nodes.without(name), rels=Lazy(rels))
 
     def drop_relationship_type(self, name: str) -> Graph:
         self.rel_frame(name)
-        return replace(self, rels={k: v for k, v in self.rels.items() if k != name})
+        return replace(self, rels=self.rels.without(name))
 
     def _altered(self, owner: str, change: Callable[[DataFrame], DataFrame]) -> Graph:
         if owner in self.nodes:
@@ -154,11 +200,28 @@ class Graph:
     # --- indexes, views, constraints, traits ------------------------------------------------------------------
 
     def create_index(self, owner: str, prop: str, kind: str = "property") -> Graph:
-        """Record an index. Reads use Parquet statistics and pushed filters; full-text search builds its term table."""
+        """Record an index. Reads use Parquet statistics and pushed filters; for full text see create_text_index."""
         if owner not in self.nodes and owner not in self.rels:
             raise GraphError(f"unknown type {owner}")
         return replace(self, indexes=self.indexes | {(owner, prop, kind)})
 
+    def create_text_index(self, owner: str, *properties: str) -> Graph:
+        """Build and keep the term table of some string properties; later searches read it instead of the texts."""
+        from graphloom.operators.search import terms
+
+        table = durable(terms(self.node_frame(owner), *properties), "terms")
+        out = replace(self, texts=self.texts | {(owner, properties): table})
+        for p in properties:
+            out = out.create_index(owner, p, "fulltext")
+        return out
+
+    def text_terms(self, owner: str, *properties: str) -> DataFrame:
+        """The kept term table of an index, or one built for this use."""
+        from graphloom.operators.search import terms
+
+        kept = self.texts.get((owner, properties))
+        return terms(self.node_frame(owner), *properties) if kept is None else kept
+
     def drop_index(self, owner: str, prop: str) -> Graph:
         return replace(self, indexes=frozenset(x for x in self.indexes if x[:2] != (owner, prop)))
 
@@ -211,12 +274,13 @@ class Graph:
         parts = [r.frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("type"), "n") for k, r in self.rels.items()]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "type string, n long")
 
-    def node(self, label: str, key: str | None = None, id: int | None = None) -> DataFrame:
-        frame = self.node_frame(label)
-        return frame.where(F.col("key") == key) if id is None else frame.where(F.col("id") == id)
+    def node(self, label: str | None, key: str | list[str] | None = None, id: int | list[int] | None = None) -> DataFrame:
+        """Nodes by one key or id, or by a list of them; unknown ones give no row."""
+        wanted, name = (key, "key") if id is None else (id, "id")
+        return self.node_frame(label).where(F.col(name).isin(wanted if isinstance(wanted, list) else [wanted]))
 
-    def relationship(self, rel: str, id: int) -> DataFrame:
-        return self.rel_frame(rel).where(F.col("id") == id)
+    def relationship(self, rel: str | None, id: int | list[int]) -> DataFrame:
+        return self.rel_frame(rel).where(F.col("id").isin(id if isinstance(id, list) else [id]))
 
 
 def _paged(df: DataFrame, skip: int, limit: int | None) -> DataFrame:

@@ -21,14 +21,24 @@ def degree_centrality(spark, d):
     return A.degree_centrality(*_nations(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
-@query(with_ctes(", e AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM partner), r0 AS (SELECT n_nationkey AS id, 0.04::DOUBLE AS r FROM nation)" + "".join(f", r{i + 1} AS (SELECT n_nationkey AS id, 0.15 / 25 + 0.85 * coalesce((SELECT sum(r * p) FROM e JOIN r{i} ON e.a = r{i}.id WHERE e.b = n_nationkey), 0) + 0.85 / 25 * coalesce((SELECT sum(r) FROM r{i} WHERE id NOT IN (SELECT a FROM partner)), 0) AS r FROM nation)" for i in range(3)) + " SELECT id::BIGINT AS id, round(r, 6) AS rank FROM r3"))
+def _iterated(first: str, step: str, moved: str, rounds: int = 20, tolerance: str = "1e-6") -> str:
+    """Rounds r0, r1, ... unrolled, and the row set of the first round that moved less than the tolerance, or the last."""
+    parts = [f"r0 AS MATERIALIZED ({first})"]
+    for i in range(1, rounds + 1):
+        parts += [f"r{i} AS MATERIALIZED ({step.format(old=f'r{i - 1}')})", f"d{i} AS MATERIALIZED (SELECT {i} AS i, {moved} AS d FROM r{i - 1} x JOIN r{i} y USING (id))"]
+    ends = " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(1, rounds + 1))
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, id, r FROM r{i}" for i in range(1, rounds + 1))
+    return ", ".join(parts) + f", stop AS (SELECT coalesce(min(i) FILTER (d < {tolerance}), {rounds}) AS i FROM ({ends})), last AS (SELECT id, r FROM ({rows}) JOIN stop USING (i)) "
+
+
+@query(with_ctes(", e AS MATERIALIZED (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM partner), " + _iterated("SELECT n_nationkey AS id, 0.04::DOUBLE AS r FROM nation", "SELECT n_nationkey AS id, 0.15 / 25 + 0.85 * coalesce((SELECT sum(r * p) FROM e JOIN {old} o ON e.a = o.id WHERE e.b = n_nationkey), 0) + 0.85 / 25 * coalesce((SELECT sum(r) FROM {old} WHERE id NOT IN (SELECT a FROM partner)), 0) AS r FROM nation", "sum(abs(x.r - y.r))") + "SELECT id::BIGINT AS id, round(r, 6) AS rank FROM last"))
 def pagerank(spark, d):
-    return A.pagerank(*_nations(spark, d), iterations=3, tolerance=0.0).select("id", F.round("rank", 6).alias("rank"))
+    return A.pagerank(*_nations(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(with_ctes(", e AS MATERIALIZED (SELECT a, b, n FROM partner), " + _iterated("SELECT n_nationkey AS id, 1.0::DOUBLE AS r FROM nation", "SELECT id, r / sqrt(sum(r * r) OVER ()) AS r FROM (SELECT n_nationkey AS id, coalesce((SELECT sum(n * r) FROM e JOIN {old} o ON e.b = o.id WHERE e.a = n_nationkey), 0)::DOUBLE AS r FROM nation)", "sum(abs(x.r - y.r))") + "SELECT id::BIGINT AS id, round(r, 6) AS score FROM last"))
 def eigenvector(spark, d):
-    return A.eigenvector(*_nations(spark, d), iterations=10).select("id", F.round("score", 6).alias("score"))
+    return A.eigenvector(*_nations(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -129,10 +139,10 @@ def louvain(spark, d):
     return A.louvain(*_nations(spark, d))
 
 
-@query(with_ctes(", near AS (SELECT p AS u, s AS v FROM supplies WHERE n > 1) SELECT count(*) AS n FROM (SELECT x.v, y.v FROM near x JOIN near y ON x.u = y.u AND x.v < y.v GROUP BY 1, 2)"))
+@query(with_ctes(", near AS (SELECT p AS u, s AS v FROM supplies) SELECT count(*) AS n FROM (SELECT x.v, y.v FROM near x JOIN near y ON x.u = y.u AND x.v < y.v GROUP BY 1, 2)"))
 def supplier_similarity_pairs(spark, d):
     """Supplier pairs with a common part: a bipartite graph at table scale."""
     g = table_graph(spark, d)
-    rel = g.rel_frame("SUPPLIES").where("n > 1")
+    rel = g.rel_frame("SUPPLIES")
     sim = A.jaccard(A.edge_list(rel), least=0.0)
     return sim.where(F.col("u") >= 4 * SHIFT).where(F.col("u") < 5 * SHIFT).where(F.col("v") < 5 * SHIFT).agg(F.count(F.lit(1)).alias("n"))

@@ -33,10 +33,10 @@ _find("find_contains", "Part", "p_name", "CONTAINS", "1", "SELECT count(*) AS n
 _find("find_ends_with", "Supplier", "s_name", "ENDS_WITH", "7", "SELECT count(*) AS n FROM supplier WHERE ends_with(s_name, '7')")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 100 AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5")
 def filter_ids_sorted(spark, d):
     g = table_graph(spark, d)
-    ids = g.nodes["Orders"].where("o_custkey < 100").select("id")
+    ids = g.nodes["Orders"].where("o_orderstatus = 'O'").select("id")
     return Find.filter_ids(g.nodes["Orders"], ids, "o_totalprice", "GT", 100000.0, sort="o_totalprice", descending=True, skip=5, limit=30).select("o_orderkey", "o_totalprice")
 
 
@@ -53,29 +53,29 @@ def _ids(g, label, where):
     return g.nodes[label].where(where).select("id")
 
 
-@query("SELECT c_custkey AS a, o_orderkey AS b FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 50")
+@query("SELECT c_custkey AS a, o_orderkey AS b FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0")
 def neighbors(spark, d):
     g = table_graph(spark, d)
-    return T.neighbors(g, _ids(g, "Customer", "c_custkey < 50"), "out", "PLACED", "Orders").select((F.col("from") % SHIFT).alias("a"), (F.col("id") % SHIFT).alias("b"))
+    return T.neighbors(g, _ids(g, "Customer", "c_acctbal > 0"), "out", "PLACED", "Orders").select((F.col("from") % SHIFT).alias("a"), (F.col("id") % SHIFT).alias("b"))
 
 
-@query("SELECT DISTINCT c_nationkey::BIGINT AS id FROM customer WHERE c_custkey < 50")
+@query("SELECT DISTINCT c_nationkey::BIGINT AS id FROM customer WHERE c_acctbal > 0")
 def unique_neighbor_ids(spark, d):
     g = table_graph(spark, d)
-    return T.unique_neighbor_ids(g, _ids(g, "Customer", "c_custkey < 50"), "out", "LIVES_IN").select((F.col("id") % SHIFT).alias("id"))
+    return T.unique_neighbor_ids(g, _ids(g, "Customer", "c_acctbal > 0"), "out", "LIVES_IN").select((F.col("id") % SHIFT).alias("id"))
 
 
-@query("SELECT c_custkey AS id, list_sort(list(o_orderkey)) AS neighbors FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 50 GROUP BY 1")
+@query("SELECT c_custkey AS id, list_sort(list(o_orderkey)) AS neighbors FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
 def neighbor_ids(spark, d):
     g = table_graph(spark, d)
-    out = T.neighbor_ids(g, _ids(g, "Customer", "c_custkey < 50"), "out", "PLACED")
+    out = T.neighbor_ids(g, _ids(g, "Customer", "c_acctbal > 0"), "out", "PLACED")
     return out.select((F.col("id") % SHIFT).alias("id"), F.transform("neighbors", lambda x: x % SHIFT).alias("neighbors"))
 
 
-@query("SELECT c_custkey AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + 1 + (SELECT count(*) FROM events WHERE user_id = c_custkey) AS degree FROM customer WHERE c_custkey < 200")
+@query("SELECT c_custkey AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + 1 + (SELECT count(*) FROM events WHERE user_id = c_custkey) AS degree FROM customer")
 def degree(spark, d):
     g = table_graph(spark, d)
-    return T.degree(g, _ids(g, "Customer", "c_custkey < 200")).select((F.col("id") % SHIFT).alias("id"), "degree")
+    return T.degree(g, _ids(g, "Customer", "true")).select((F.col("id") % SHIFT).alias("id"), "degree")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)")

@@ -94,10 +94,10 @@ def let_binding(spark, d):
     return m.rows.groupBy(p("o", "o_orderkey").alias("l_orderkey")).agg(F.round(F.sum("net"), 4).alias("net"))
 
 
-@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_ms(date_trunc('day', ts)) AS day_ms FROM events WHERE event_id < 500")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_ms(date_trunc('day', ts)) AS day_ms FROM events")
 def date_fn(spark, d):
     ts = p("e", "ts").cast("string")
-    return match(spark, d).node("e", "Event", where=F.col("event_id") < 500).select(p("e", "event_id").alias("event_id"), S.epoch_millis(ts).alias("ms"), S.epoch_millis(F.substring(ts, 1, 10)).alias("day_ms"))
+    return match(spark, d).node("e", "Event").select(p("e", "event_id").alias("event_id"), S.epoch_millis(ts).alias("ms"), S.epoch_millis(F.substring(ts, 1, 10)).alias("day_ms"))
 
 
 @query("SELECT DISTINCT c_mktsegment AS segment, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")

@@ -137,7 +137,7 @@ def cyclic_triangle(spark, d):
     return m.select(*[p(v, "n_nationkey").alias(v) for v in "abc"])
 
 
-@query(with_ctes("SELECT s, count(*) AS pairs FROM (SELECT x.s AS s, y.s AS t FROM supplies x JOIN supplies y ON x.p = y.p AND x.s <> y.s WHERE x.n > 1 AND y.n > 1) GROUP BY 1"))
+@query(with_ctes("SELECT s, count(*) AS pairs FROM (SELECT x.s AS s, y.s AS t FROM supplies x JOIN supplies y ON x.p = y.p AND x.s <> y.s) GROUP BY 1"))
 def co_suppliers(spark, d):
-    m = match(spark, d).node("s", "Supplier").expand("s", "SUPPLIES", "p", "Part", edge="x", edge_where=F.col("n") > 1).expand("p", "SUPPLIES", "t", "Supplier", direction="in", edge="y", edge_where=F.col("n") > 1)
+    m = match(spark, d).node("s", "Supplier").expand("s", "SUPPLIES", "p", "Part", edge="x").expand("p", "SUPPLIES", "t", "Supplier", direction="in", edge="y")
     return m.rows.groupBy(p("s", "s_suppkey").alias("s")).agg(F.count(F.lit(1)).alias("pairs"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.graph import Graph, Relationship
+from graphloom.plans.graph import Graph, Lazy, Relationship
 
 SHIFT = 1 << 40
 # Node types with their table, key column and ordinal.
@@ -39,22 +39,30 @@ def _foreign(nodes: DataFrame, ordinal: int, src: Column, dst: Column) -> DataFr
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    nodes = {label: _nodes(spark, sf_dir, label) for label in NODE_TABLES}
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    # Rows that are equal in every column are interchangeable and share an id.
-    line = line.withColumn("id", F.xxhash64(*line.columns))
-    rels = {
-        "IN_REGION": Relationship(_foreign(nodes["Nation"], 101, F.col("id"), node_id("Region", "n_regionkey")), "Nation", "Region"),
-        "LIVES_IN": Relationship(_foreign(nodes["Customer"], 102, F.col("id"), node_id("Nation", "c_nationkey")), "Customer", "Nation"),
-        "BASED_IN": Relationship(_foreign(nodes["Supplier"], 103, F.col("id"), node_id("Nation", "s_nationkey")), "Supplier", "Nation"),
-        "PLACED": Relationship(_foreign(nodes["Orders"], 104, node_id("Customer", "o_custkey"), F.col("id")), "Customer", "Orders"),
-        "DID": Relationship(_foreign(nodes["Event"], 105, node_id("Customer", "user_id"), F.col("id")), "Customer", "Event"),
-        "CONTAINS": Relationship(line.select("id", node_id("Orders", "l_orderkey").alias("src"), node_id("Part", "l_partkey").alias("dst"), "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), "Orders", "Part"),
-        "SHIPPED": Relationship(line.select("id", node_id("Supplier", "l_suppkey").alias("src"), node_id("Orders", "l_orderkey").alias("dst"), "l_quantity", "l_shipdate"), "Supplier", "Orders"),
-        "SUPPLIES": Relationship(supplies(line), "Supplier", "Part"),
-        "NEXT": Relationship(next_events(nodes["Event"]), "Event", "Event"),
-        "PARTNER": Relationship(partners(spark, sf_dir), "Nation", "Nation"),
-    }
+    """The graph; a type's frame is made when it is first asked for."""
+    nodes = Lazy({label: lambda label=label: _nodes(spark, sf_dir, label) for label in NODE_TABLES})
+
+    def lines(*columns: str) -> DataFrame:
+        line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        # Rows that are equal in every column are interchangeable and share an id.
+        return line.withColumn("id", F.xxhash64(*line.columns)) if not columns else line.select(*columns)
+
+    def foreign(label: str, ordinal: int, src: Column, dst: Column, ends: tuple[str, str]):
+        return lambda: Relationship(_foreign(nodes[label], ordinal, src, dst), *ends)
+
+    order, part, supplier = node_id("Orders", "l_orderkey"), node_id("Part", "l_partkey"), node_id("Supplier", "l_suppkey")
+    rels = Lazy({
+        "IN_REGION": foreign("Nation", 101, F.col("id"), node_id("Region", "n_regionkey"), ("Nation", "Region")),
+        "LIVES_IN": foreign("Customer", 102, F.col("id"), node_id("Nation", "c_nationkey"), ("Customer", "Nation")),
+        "BASED_IN": foreign("Supplier", 103, F.col("id"), node_id("Nation", "s_nationkey"), ("Supplier", "Nation")),
+        "PLACED": foreign("Orders", 104, node_id("Customer", "o_custkey"), F.col("id"), ("Customer", "Orders")),
+        "DID": foreign("Event", 105, node_id("Customer", "user_id"), F.col("id"), ("Customer", "Event")),
+        "CONTAINS": lambda: Relationship(lines().select("id", order.alias("src"), part.alias("dst"), "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), "Orders", "Part"),
+        "SHIPPED": lambda: Relationship(lines().select("id", supplier.alias("src"), order.alias("dst"), "l_quantity", "l_shipdate"), "Supplier", "Orders"),
+        "SUPPLIES": lambda: Relationship(supplies(lines("l_suppkey", "l_partkey", "l_quantity")), "Supplier", "Part"),
+        "NEXT": lambda: Relationship(next_events(nodes["Event"]), "Event", "Event"),
+        "PARTNER": lambda: Relationship(partners(spark, sf_dir), "Nation", "Nation"),
+    })
     return Graph(spark, nodes, rels)
 
 

@@ -352,3 +352,63 @@ def test_stream_of_relationships(spark, tmp_path):
         spark.createDataFrame([(k * 10 + i, i, i + 1) for i in range(3)] + [(k * 10, 0, 1)], "id long, src long, dst long").coalesce(1).write.mode("append").parquet(src)
         ingest_relationships(spark, src, "id long, src long, dst long", out, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_joined_patterns_obey_the_different_edges_rule_and_share_relationships(spark):
+    g = Graph(spark).create_node_type("N").create_relationship_type("R")
+    g = W.insert_nodes(g, "N", spark.createDataFrame([(i, str(i)) for i in (1, 2, 3)], "id long, key string"))
+    g = W.insert_relationships(g, "R", spark.createDataFrame([(10, 1, 2), (11, 3, 2)], "id long, src long, dst long"))
+    one = lambda a, edge=None: Match(g).node(a, "N").expand(a, "R", "b", "N", edge=edge)
+    assert pairs(one("a").join(one("c")).select("a__id", "c__id")) == [(1, 3), (3, 1)]
+    assert pairs(one("a", "e").join(one("c", "e")).select("a__id", "c__id")) == [(1, 1), (3, 3)]
+    assert one("a").repeat_elements().join(one("c")).rows.count() == 4
+    assert pairs(one("a").optional(one("c")).select("a__id", "c__id")) == [(1, 1), (1, 3), (3, 1), (3, 3)]
+
+
+def test_negated_operations_do_not_match_missing_properties(spark):
+    df = spark.createDataFrame([(1, ["a"], "ab"), (2, None, None), (3, ["b"], "cd")], "id long, xs array<string>, s string")
+    for op in ("NOT_CONTAINS", "NOT_STARTS_WITH", "NOT_ENDS_WITH"):
+        assert pairs(Find.find_ids(df, "xs", op, ["a"])) == [(3,)]
+    assert pairs(Find.find_ids(df, "s", "NOT_CONTAINS", "a")) == [(3,)]
+    assert pairs(Find.find_ids(df, "xs", "NOT_IS_NULL")) == [(1,), (3,)]
+
+
+def test_paths_inside_patterns(people, spark):
+    start = Match(people).node("a", "Person", name="Alice")
+    out = start.path("a", "FRIEND", "b", 2, 3, "Person", name="p")
+    want = {(2, (10, 11), 3), (2, (14, 11), 3), (2, (13, 10), 2), (2, (13, 14), 2), (3, (10, 11, 12), 1), (3, (14, 11, 12), 1), (3, (13, 10, 11), 3), (3, (13, 14, 11), 3)}
+    assert {(r.p__depth, tuple(r.p__rels), r.b__id) for r in out.rows.collect()} == want
+    old = start.path("a", "FRIEND", "b", 1, None, "Person", edge_where=F.col("since") < 2022)
+    assert pairs(old.select("b__id")) == [(2,), (3,)]
+    allowed = spark.createDataFrame([(2,)], "id long")
+    assert pairs(start.path("a", "FRIEND", "b", 2, 2, "Person", inner=allowed).select("b__id")) == [(3,), (3,)]
+    both = start.node("b", "Person", name="Carol").path("a", "FRIEND", "b", 1, 4, name="p", shortest="all")
+    assert sorted(tuple(r.p__rels) for r in both.rows.collect()) == [(10, 11), (14, 11)]
+    assert pairs(start.path("a", "FRIEND", "b", labels="Person", shortest="any").expand("b", "KNOWS", "c", "Person").select("b__id", "c__id")) == [(2, 4)]
+    hop = Match(people).node("x", "Person").expand("x", "FRIEND", "y", "Person").expand("y", "KNOWS", "z", "Person").group("x", "z")
+    assert {tuple(r.p__rels) for r in Match(people).node("a", "Person").path("a", hop, "b", 1, 2, "Person", name="p").rows.collect()} == {(10, 20), (14, 20)}
+
+
+def test_relationship_starts_lists_and_label_conjunction(people):
+    m = Match(people).relationship("e", "FRIEND", "a", "b", F.col("since") > 2021)
+    assert pairs(m.select("a__id", "b__id")) == [(1, 1), (1, 2), (3, 1)]
+    assert pairs(people.node("Person", ["bob", "nobody", "dave"]).select("id")) == [(2,), (4,)]
+    assert pairs(people.node(None, id=[1, 3]).select("id")) == [(1,), (3,)] and people.relationship("FRIEND", [10, 99]).count() == 1
+    g = people.create_view("Old", lambda g: g.nodes["Person"].where("age > 30")).create_view("Bs", lambda g: g.nodes["Person"].where("key LIKE 'b%'"))
+    assert pairs(g.node_frame("Person", also=["Old", "Bs"]).select("id")) == [(2,)]
+    assert pairs(g.node_frame("Person", exclude=["Old"]).select("id")) == [(1,), (3,), (4,)]
+
+
+def test_kept_text_index(people):
+    kept = people.create_text_index("Person", "name")
+    found = lambda g: pairs(search.search(g.text_terms("Person", "name"), g.node_frame("Person"), "alice bob").select("id"))
+    assert found(kept) == found(people) == [(1,), (2,)]
+    assert kept.show_indexes().count() == 1
+
+
+def test_directed_triangles_with_loops_and_opposite_edges(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(9), rng.randrange(9)) for _ in range(40)]
+    e = set(edges)
+    want = sum((a, b) in e and (b, c) in e and (c, a) in e for a in range(9) for b in range(9) for c in range(9))
+    assert A.directed_triangle_count(spark.createDataFrame(edges, "src long, dst long")).first().n == want
