@@ -35,6 +35,8 @@ CONTEXT_WORDS = {
 }
 CONTEXT = 40
 BONUS = 0.2
+#: Numbers per block of a running sum; code points per chunk of a long text.
+BLOCK, CHUNK = 128, 1_000
 
 
 def _digits(s: Column) -> Column:
@@ -64,7 +66,8 @@ def _confirmed(kind: str, m: Column) -> Column:
         return m.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         digits = _digits(m)
-        return F.char_length(digits).between(13, 19) & F.when(F.char_length(digits) <= 19, luhn(digits)).otherwise(F.lit(False))
+        n = F.when(F.char_length(m) >= 13, F.char_length(digits)).otherwise(0)
+        return F.when(n.between(13, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.char_length(_digits(m)).between(9, 15)
     if kind == "iban":
@@ -73,51 +76,73 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array of numbers as blocks of BLOCK: block sums first, then sums inside each block, so that
+    the arrays copied on the way stay short however many steps there are."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+    add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
+    inner = F.transform(blocks, lambda b: F.aggregate(b, start, add))
+    before = F.aggregate(inner, start, lambda acc, b: F.struct((acc["sum"] + b["sum"]).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")))
+    return F.struct(before["all"].alias("before"), F.transform(inner, lambda b: b["all"]).alias("inside"))
+
+
 def find_spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
     """The input with an array column `out` of (kind, start, end, score), by kind as in PATTERNS, then by start.
 
     Offsets count code points, the end is exclusive. Null texts count as empty and have no spans. Matches of one kind
-    never overlap; kinds may. A match that fails its check is dropped without a second try. Columns named like the
-    working columns (`_m_email` and so on) would be replaced; all others pass through.
+    never overlap; kinds may. A match that fails its check is dropped without a second try. Time grows in proportion to
+    the text and its matches. All columns of the input pass through, whatever their names; one named `out` is replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    found = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    text = F.col("_text")
     has_digit = text.rlike("[0-9]")
-    scan, gaps = {}, {}
+    scan, sure, gaps, ends, spans = {}, {}, {}, {}, {}
     for kind, pattern in PATTERNS.items():
         may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else has_digit
         scan[f"_m_{kind}"] = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        gaps[f"_g_{kind}"] = F.when(F.size(f"_m_{kind}") > 0, F.split(text, pattern, -1))
-    found = docs.withColumns(scan).withColumns(gaps)
-    spans = {}
-    for kind in PATTERNS:
-        m, g = f"_m_{kind}", f"_g_{kind}"
-        gap = F.col(g)
-        pairs = F.transform(F.col(m), lambda s, i: F.struct(F.char_length(F.get(gap, i)).alias("gap"), F.char_length(s).alias("n"), s.alias("s")))  # noqa: B023
-        empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-        walk = F.aggregate(
-            pairs,
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, p: F.struct(
-                (a["at"] + p["gap"] + p["n"]).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["n"]).alias("end"), p["s"].alias("s")))).alias("out"),
-            ),
-        )["out"]
-        spans[f"_s_{kind}"] = F.when(F.size(m) > 0, walk).otherwise(empty)
-    placed = found.withColumns(spans)
-    placed = placed.withColumn(out, F.concat(*[_scored(kind, text) for kind in PATTERNS]))
-    helpers = [f"_{a}_{kind}" for a in "mgs" for kind in PATTERNS]
-    return placed.drop(*helpers)
-
-
-def _scored(kind: str, text: Column) -> Column:
+        m = F.col(f"_m_{kind}")
+        # Checks come first: texts whose matches all fail need no offsets.
+        sure[f"_s_{kind}"] = F.filter(F.transform(m, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: _confirmed(kind, x["s"]))  # noqa: B023
+        gaps[f"_g_{kind}"] = F.when(F.size(f"_s_{kind}") > 0, F.split(text, pattern, -1))
+        g = F.col(f"_g_{kind}")
+        steps = F.transform(m, lambda s, i: (F.char_length(F.get(g, i)) + F.char_length(s)).cast("long"))  # noqa: B023
+        ends[f"_e_{kind}"] = F.when(g.isNotNull(), steps)
+        spans[f"_r_{kind}"] = F.when(g.isNotNull(), _running(F.col(f"_e_{kind}")))
+    found = found.withColumns(scan).withColumns(sure).withColumns(gaps).withColumns(ends).withColumns(spans)
+    # Finding a place in a text takes time in proportion to the place, so long texts are cut into chunks for context.
+    any_span = reduce(lambda x, y: x | y, [F.col(f"_g_{k}").isNotNull() for k in PATTERNS])
+    found = found.withColumn("_chunks", F.when(any_span & (F.char_length(text) > 2 * CHUNK), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    placed = found.withColumn("_found", F.concat(*[F.coalesce(_scored(kind), NONE()) for kind in PATTERNS]))
+    return placed.select("_row.*", F.col("_found").alias(out))
+
+
+def NONE() -> Column:  # noqa: N802
+    return F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+
+def _part(a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of the text in hand."""
+    text, chunks = F.col("_text"), F.col("_chunks")
+    k = F.floor(a / CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, k + 1, F.floor((b - 1) / CHUNK).cast("int") - k + 1), "")
+    return F.when(chunks.isNull(), F.substring(text, a + 1, b - a)).otherwise(F.substring(some, a - k * CHUNK + 1, b - a))
+
+
+def _scored(kind: str) -> Column:
     """The confirmed spans of a kind as (kind, start, end, score)."""
+    at = F.col(f"_r_{kind}")
 
     def scored(x: Column) -> Column:
-        near = F.substring(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), x["end"] - x["start"] + 2 * CONTEXT)
+        k = F.floor(x["i"] / BLOCK).cast("int")
+        end = (F.get(at["before"], k) + F.get(F.get(at["inside"], k), x["i"] - k * BLOCK)).cast("int")
+        start = end - F.char_length(x["s"])
+        near = _part(F.greatest(start - CONTEXT, F.lit(0)), end + CONTEXT)
         score = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT_WORDS[kind]), BONUS).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
 
-    return F.transform(F.filter(F.col(f"_s_{kind}"), lambda x: _confirmed(kind, x["s"])), scored)
+    return F.transform(F.col(f"_s_{kind}"), scored)
 
 
 def joined(spans: Column) -> Column:
@@ -140,9 +165,13 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The input with every confirmed span of at least `min_score` replaced by its kind in angle brackets, longest cover first."""
-    found = find_spans(docs, text_col, "_pii")
-    spans = F.array_sort(F.filter("_pii", lambda x: x["score"] >= min_score), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["end"] - x["end"]))
+    """The input with every confirmed span of at least `min_score` replaced by its kind in angle brackets, the earliest
+    and then the longest of overlapping ones first. Null texts stay null; all columns stay, whatever their names."""
+    name = "_pii"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    found = find_spans(docs, text_col, name)
+    spans = F.array_sort(F.filter(name, lambda x: x["score"] >= min_score), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["end"] - x["end"]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -150,5 +179,6 @@ def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.5) -> D
         piece = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("<"), x["kind"], F.lit(">"))
         return F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
 
-    done = reduce(lambda c, f: f(c), [lambda s: F.aggregate(s, start, step)], spans)
-    return found.withColumn("_walk", done).withColumn(text_col, F.concat(F.col("_walk")["out"], F.substring(text, F.col("_walk")["at"] + 1, F.char_length(text)))).drop("_walk", "_pii")
+    walk = F.aggregate(spans, start, step)
+    done = F.concat(walk["out"], F.substring(text, walk["at"] + 1, F.char_length(text)))
+    return found.select(*[F.when(F.size(name) > 0, done).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -187,6 +187,21 @@ def test_pii_matches_brute_force(spark):
     assert pii.pii_report(empty_docs(spark)).count() == 0
 
 
+def test_pii_of_long_texts_takes_time_in_proportion(spark):
+    number, many = "12," * 1_000_000, "call 10.0.0.1 or a@b.cc, " * 20_000
+    df = docs_of(spark, [number, many])
+    got = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    assert [got[0][f"n_{k}"] for k in BASE] == [0, 0, 0, 0] and got[1].n_email == got[1].n_ip == 20_000
+    assert got[1].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in brute_spans(many)).encode()).hexdigest()
+
+
+def test_spans_keep_columns_of_any_name(spark):
+    df = docs_of(spark, [PII[0], None]).withColumns({c: F.lit(7) for c in ("_pii", "_m_ip", "_s_card", "_row", "_chunks")})
+    assert pii.find_spans(df).columns == [*df.columns, "pii"]
+    out = pii.redact(df)
+    assert out.columns == df.columns and {r._pii for r in out.collect()} == {7}
+
+
 def test_iban_and_redaction(spark):
     df = docs_of(spark, [PII[6], "write to a@b.cc now", None])
     got = {r.doc_id: r for r in pii.pii_report(df).collect()}
