@@ -57,8 +57,12 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 def _packed(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_size", "_id", "_c64", "_piece"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
-        source = pd.factorize(pdf["_source"], use_na_sentinel=False)[0].tolist()
-        copies = pdf["_c64"].duplicated(keep=False)
+        blank = (pdf["_size"] == 0).to_numpy()  # without words there is nothing to conflict
+        source = pd.factorize(pdf["_source"], use_na_sentinel=False)[0]
+        source = source.astype(int)
+        source[blank] = -1
+        source = source.tolist()
+        copies = pdf["_c64"].duplicated(keep=False) & ~blank
         cluster = pd.Series(-1, index=pdf.index)
         cluster[copies] = pd.factorize(pdf.loc[copies, "_c64"])[0]
         at = best_fit(pdf["_size"].tolist(), source, cluster.tolist(), capacity)
@@ -74,8 +78,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
 
     A document of more than `capacity` words is cut into full pieces, which fill a bin each, and a rest. No bin
     exceeds the capacity or holds two pieces of one source or of one duplicate cluster (by default, equal texts without
-    white space). Null and empty texts give one piece of 0 words; a null source
-    is a source; null ids and repeated rows are packed like others. An empty table gives an empty result. Sizes are
+    white space). Null and empty texts give one piece of 0 words, which any bin may hold; a null source is a source; null ids and repeated rows are packed like others. An empty table gives an empty result. Sizes are
     words unless a column is given, and other columns are ignored.
     """
     words = F.coalesce(n_words(text_col) if size is None else size, F.lit(0)).cast("long")

@@ -146,6 +146,29 @@ def test_shards_of_one_hot_text_and_of_hard_rows(spark):
     assert sharding.assign_shards(empty_docs(spark)).count() == 0
 
 
+def test_shards_are_cut_from_one_byte_axis(spark, monkeypatch):
+    """The whole assignment against brute force: sort by digests, cut where byte midpoints pass the n-th parts."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 40)  # many ranges, overfull ones among them
+    texts = ["hot text"] * 300 + [f"text {i} " * (i % 50) for i in range(300)] + HARD
+    df = docs_of(spark, texts)
+    hexed = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    order = sorted((hexed(t or ""), hexed(str(i)), i, len((t or "").encode()) + 8) for i, t in enumerate(texts))
+    total, at, want, slots = sum(o[3] for o in order), 0, {}, Counter()
+    for _, _, i, size in order:
+        shard = min(int((at + size / 2) * 7 // total), 6)
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+        at += size
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(df, 7).collect()} == want
+
+
+def test_written_shards_keep_rows_of_no_id_and_columns_of_any_name(spark, tmp_path):
+    df = docs_of(spark, ["a", "b", "b", None]).withColumns({"shard": F.lit(9), "doc_id": F.when(F.col("doc_id") < 2, F.col("doc_id"))})
+    sharding.write_shards(df.union(df.limit(1)), str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id or -1, r.text or "") for r in back.collect()) == sorted((r.doc_id or -1, r.text or "") for r in df.union(df.limit(1)).collect())
+
+
 def test_written_shards_hold_every_row(spark, tmp_path):
     plan = sharding.write_shards(read(spark, "documents"), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
