@@ -110,6 +110,7 @@ def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """`keep` columns (default: all of the input) with lang_pred, score and langs (all chosen languages with shares).
+    Columns of the input with these three names are replaced by default.
 
     Texts that are null, or without a letter, get `und`, score 0 and no languages, as do all texts if nothing was
     learned. Texts are read whole. Repeated rows get equal results.
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                     sets.append(",".join(f"{names[j]}:{row[j]:.3f}" for j in np.argsort(-row, kind="stable") if row[j] > 0))
             yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=["_kept", "lang_pred", "score", "langs"])
 
-    kept = F.struct(*(keep or [docs[c] for c in docs.columns]))
+    kept = F.struct(*(keep or [docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score", "langs")]))
     slim = docs.select(kept.alias("_kept"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_known"))
     schema = f"_kept {slim.schema['_kept'].dataType.simpleString()}, lang_pred string, score double, langs string"
     return slim.mapInArrow(predict, schema).select("_kept.*", "lang_pred", "score", "langs")

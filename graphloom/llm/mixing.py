@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, **law) -> DataFrame:
-    """The input's columns with `_size`, `_source_size`, `_target`, `_taken`: the words the mix takes of each row.
+    """The input's columns with `_size`, `_source_size`, `_target`, `_taken`: the words the mix takes of each row. Columns
+    of the input with these names are replaced, all others stay.
 
     Rows of a source stand in the order of md5(id); a source's budget (its target, rounded) buys whole epochs and then
     the words up to the exact cut, so that one row at most per source is taken in part and the sum is the budget. Null
@@ -47,25 +48,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source may hold any share of the rows: prefix sums run over buckets of its order, never over a whole source. An
     empty table gives an empty result.
     """
+    named = ("_size", "_source_size", "_target", "_taken")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumns({"_size": n_words(text_col) if size is None else size.cast("long"), "_key": key})
-    n = rows.count()
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns if c.lower() not in named]).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_from"),
+        (n_words(text_col) if size is None else size.cast("long")).alias("_size"),
+        key.alias("_key"),
+    )
+    n = docs.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))) if n > BUCKET_ROWS else 1
     rows = rows.withColumn("_bucket", F.substring("_key", 1, digits))
-    sums = rows.groupBy(F.col(source_col).alias("source"), "_bucket").agg(F.sum("_size").alias("_sum"))
+    sums = rows.groupBy(F.col("_from").alias("source"), "_bucket").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     goals = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), **law)
-    starts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("_source"), F.col("_bucket").alias("_b"), "_start", "source_size", "target")
-    inside = Window.partitionBy(source_col, "_bucket").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, 0)
+    starts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("_source"), F.col("_bucket").alias("_b"), "_start", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    inside = Window.partitionBy("_from", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_upto", F.sum("_size").over(inside))
-    placed = summed.join(starts, (F.col("_bucket") == F.col("_b")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
+    placed = summed.join(starts, (F.col("_bucket") == F.col("_b")) & F.col("_from").eqNullSafe(F.col("_source")))
+    budget = F.round("_target").cast("long")
+    epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(0).cast("long")
+    rest = budget - epochs * F.col("_source_size")
     ahead = F.col("_start") + F.col("_upto") - F.col("_size")
     taken = epochs * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest - ahead))
-    return placed.withColumn("_taken", taken.cast("long")).withColumnsRenamed({"source_size": "_source_size", "target": "_target"}).drop("_key", "_bucket", "_source", "_b", "_start", "_upto")
+    return placed.select("_row.*", "_size", "_source_size", "_target", taken.cast("long").alias("_taken"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

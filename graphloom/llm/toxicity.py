@@ -28,6 +28,8 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the fit: labelled rows (smallest hash of the id), smallest support, support at which a feature without
 #: clean rows needs no further reason, least precision.
 FIT_ROWS, SUPPORT, SIGNIFICANT, PRECISION = 20_000, 3, 6, 0.8
+#: Separators between two letters of a spaced word; log-probability under which a double letter is rare.
+APART, RARE = 3, -4.5
 LETTERS = 27  # a to z, and everything else
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in LOOKALIKES]] = True
@@ -103,7 +105,15 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def _suspects(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rare_doubles(model: np.ndarray) -> np.ndarray:
+    """Which bytes are letters that the character model hardly ever doubles; a double of theirs may be a repetition."""
+    out = np.zeros(256, dtype=bool)
+    for c in range(LETTERS - 1):
+        out[97 + c] = np.median(model[: LETTERS - 1, c, c]) < RARE
+    return out
+
+
+def _suspects(data: np.ndarray, doubles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of the runs worth decoding, and whether they are letters set apart by separators."""
     if len(data) < 4:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -116,17 +126,20 @@ def _suspects(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_plain, n_odd = sums(plain), sums(ok & ~plain)
     triple = np.zeros(len(data), dtype=bool)
     triple[:-2] = plain[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
+    triple[:-1] |= doubles[data[:-1]] & (data[:-1] == data[1:])
     n_triple = sums(triple)
     letters, odd = n_plain[ends] - n_plain[starts], n_odd[ends] - n_odd[starts]
     mixed = (letters >= 1) & (odd >= 1) & (ends - starts >= 3) | (n_triple[ends] - n_triple[starts] > 0)
-    # Letters set apart: single word characters at distance two, four or more in a row.
+    # Letters set apart: three or more single word characters in a row, with up to APART other characters of any kind
+    # (but no line feed) between two of them.
     wordy = plain | _SYMBOLS[data] | (data >= 128)
     alone = (plain | _SYMBOLS[data]) & ~np.append(False, wordy[:-1]) & ~np.append(wordy[1:], False)
     at = np.flatnonzero(alone)
-    gap = np.diff(at) != 2
+    between = sums(wordy | (data == 10))
+    gap = (np.diff(at) > APART + 1) | (between[at[1:]] - between[at[:-1] + 1] > 0)
     first = np.flatnonzero(np.append(True, gap)) if len(at) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(at)) - 1 if len(at) else first
-    long = last - first >= 3
+    long = last - first >= 2
     s = np.concatenate((starts[mixed], at[first[long]] if len(at) else first))
     e = np.concatenate((ends[mixed], at[last[long]] + 1 if len(at) else first))
     return s, e, np.concatenate((np.zeros(int(mixed.sum()), bool), np.ones(int(long.sum()), bool)))
@@ -142,7 +155,7 @@ def features(texts: pa.Array, model: np.ndarray, seen: dict[str, str]) -> tuple[
         long = ends - starts >= n
         docs.append(doc[long])
         hashes.append(mix64(word_hashes(data, starts[long], starts[long] + n) + U(n)))
-    s, e, apart = _suspects(data)
+    s, e, apart = _suspects(data, rare_doubles(model))
     restored, owner = [], []
     for a, b, split, d in zip(s.tolist(), e.tolist(), apart.tolist(), (np.searchsorted(offsets, s, side="right") - 1).tolist(), strict=True):
         raw = data[a:b].tobytes().decode("ascii", "ignore")
@@ -152,7 +165,7 @@ def features(texts: pa.Array, model: np.ndarray, seen: dict[str, str]) -> tuple[
             if len(seen) < 200_000:
                 seen[raw] = word
         if split:  # where a word begins in such a run is not known: take every stretch
-            stretches = {word[i : i + n] for n in range(4, 15) for i in range(len(word) - n + 1)}
+            stretches = {word[i : i + n] for n in range(3, 15) for i in range(len(word) - n + 1)}
         else:
             stretches = {word}
         restored += stretches

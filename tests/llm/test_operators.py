@@ -109,6 +109,17 @@ def test_exact_report(spark):
     assert exact_dedup.duplicate_report(empty_docs(spark)).count() == 0
 
 
+def test_exact_dedup_of_hot_groups_and_many_runs(spark):
+    texts = [f"t{i % 40}" for i in range(400)] + ["hot  text"] * 300 + [None, " "] * 20
+    df = docs_of(spark, texts).repartition(13).withColumn("_top", F.lit(1))
+    want = brute_groups(list(enumerate(texts)))
+    for radix in (2, 8):
+        got = {r.doc_id: (r.text_sha256, r.keep_id, r.group_size) for r in exact_dedup.duplicate_report(df, radix=radix).collect()}
+        assert got == want
+        out = exact_dedup.deduplicate(df.union(df.limit(20)), radix=radix)
+        assert sorted(r.doc_id for r in out.collect()) == sorted({k for _, k, _ in want.values()}) and out.columns == df.columns
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     df = docs_of(spark, HARD)
     out = exact_dedup.deduplicate(df.union(df))
@@ -347,7 +358,8 @@ def check_packing(rows, sizes, capacity):
     assert {d: sum(r.n_tokens for r in x) for d, x in by_doc.items()} == sizes
     for x in bins.values():
         assert sum(r.n_tokens for r in x) <= capacity
-        assert len({r.source for r in x}) == len(x) and len({r.cluster for r in x}) == len(x)
+        full = [r for r in x if r.n_tokens]  # a piece without words has nothing to conflict
+        assert len({r.source for r in full}) == len(full) and len({r.cluster for r in full}) == len(full)
         at = 0
         for r in sorted(x, key=lambda r: (r.bin_offset, r.n_tokens)):
             assert r.bin_offset == at
@@ -366,6 +378,19 @@ def test_packing_is_whole_and_free_of_conflicts(spark):
     assert n <= 1.1 * max(sum(sizes.values()) / packing.CAPACITY, 1)
 
 
+def test_packing_wastes_little_against_one_pass_over_all(spark):
+    """Bins of packing in groups against best fit over all pieces at once."""
+    df = read(spark, "documents")
+    rows = packing.pack(df, group=64).collect()
+    whole = packing.pack(df, group=10**9).collect()
+    assert len({r.bin_id for r in rows}) <= 1.25 * len({r.bin_id for r in whole})
+
+
+def test_empty_texts_share_a_bin(spark):
+    rows = packing.pack(docs_of(spark, [None, "", " "] * 50 + ["one two"])).collect()
+    assert len({r.bin_id for r in rows}) == 1 and len(rows) == 151
+
+
 def test_packing_hard_rows(spark):
     df = docs_of(spark, [*HARD, "w " * 5000], source=[None, "a", "a", None, "b", "b", "a", "c", "c", "d", "a"])
     rows = packing.pack(df, capacity=100, group=4).collect()
@@ -488,7 +513,14 @@ def test_toxicity_of_held_out_documents(spark):
     held = [r for r in got if r.held_out and want.get(r.doc_id) is not None]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert sum(r.predicted and not want[r.doc_id] for r in held) == 0
-    assert sum(r.predicted for r in held) >= 0.4 * sum(want[r.doc_id] for r in held)
+
+
+def test_toxicity_recall_and_precision_of_held_out_documents(spark):
+    large = SF.replace("sf0.01", "sf0.1")
+    want = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect() if r.toxic is not None}
+    held = [r for r in registry.op10_toxicity(spark, large).where("held_out").select("doc_id", "predicted").collect() if r.doc_id in want]
+    hits = sum(r.predicted and want[r.doc_id] for r in held)
+    assert hits >= 0.8 * sum(want[r.doc_id] for r in held) and hits >= 0.9 * sum(r.predicted for r in held)
 
 
 def test_precise_words_are_learned_whatever_their_number_of_clean_rows(spark):
@@ -506,8 +538,8 @@ def test_obfuscated_words_are_restored(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     model = toxicity.character_model(docs)
     lexicon = toxicity.train(docs, labels, model)
-    texts = ["you 1d10t here", "what s c u m is", "s-t-u-p-i-d", "so stuuuuupid", "p@thet1c", "a plain line of words", *HARD]
+    texts = ["you 1d10t here", "what s c u m is", "s-t-u-p-i-d", "so stuuuuupid", "p@thet1c", "i  d  i  o  t", "s. c - u . m", "an idiiot", "a plain line of words", *HARD]
     got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, texts), model, lexicon).collect()}
-    assert all(got[i] >= 0.7 for i in range(5)), got
-    assert all(got[i] < 0.5 for i in range(5, len(texts))), got
+    assert all(got[i] >= 0.7 for i in range(8)), got
+    assert all(got[i] < 0.5 for i in range(8, len(texts))), got
     assert toxicity.score(empty_docs(spark), model, lexicon).count() == 0

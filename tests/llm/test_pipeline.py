@@ -27,3 +27,27 @@ def test_stages(spark):
         words[r.doc_id] += n_words(r.text)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     check_packing(packed, dict(words), 2048)
+
+
+def test_stages_on_hard_rows(spark):
+    """Null and shared ids, null and empty and very long texts, repeated rows, clashing names: no stage fails or loses a row it keeps."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, _size int, _key string, _row int, lang_pred string"
+    line = lambda n: " ".join(f"word{i * 7919 % 1000}" for i in range(n))
+    texts = [(None, line(300)), (None, line(310)), (1, line(50)), (1, "another text altogether with some words in it"), (2, None), (3, ""), (4, "  "), (5, "x" * 100_000), (6, line(20_000)), (7, "12 34"), (8, "same text"), (8, "same text"), (9, "same  text")]
+    rows = [(i, t, ["en", None][n % 2], ["a", "b", None][n % 3], len(t or ""), 0.5, n, "k", n, "xx") for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    for table in (docs, docs.where("false")):
+        left = table
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, left, None)
+            if name != "pack":
+                assert left.columns == docs.columns, name
+            got = left.collect()
+            if name == "language" and table is docs:
+                assert Counter(r.text for r in got) == Counter(t for _, t in texts if any(c.isalpha() for c in t or ""))
+            if name == "exact" and table is docs:
+                assert len(got) == 7 and {r.doc_id for r in got if "same" in r.text} == {9}
+            if name == "near" and table is docs:
+                assert sum(r.doc_id is None for r in got) == 2 and len(got) == 7
+            if table is not docs:
+                assert not got
