@@ -7,6 +7,7 @@ stage's documents. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import dart_minhash, exact_dedup, language_id, mixing, packing
 from graphloom.llm.common import durable
@@ -15,7 +16,8 @@ from graphloom.llm.common import durable
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, or without a text, go."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    return language_id.identify(docs, model, keep=[row]).where("lang_pred <> 'und'").select("_row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
