@@ -73,6 +73,18 @@ def test_similar_vectors_match_brute_force(spark):
     assert sum(w[0] for w in want.values()) > 100
 
 
+def test_similar_vectors_across_many_blocks(spark, monkeypatch):
+    """Blocks of 8 vectors, so that the descent has several levels; a hot group of copies and labels that share blocks."""
+    monkeypatch.setattr(epsilon_grid, "INTERVAL", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 6))
+    rows = [(i, (centres[rng.integers(60)] + 0.08 * rng.normal(size=6)).tolist(), int(rng.integers(3))) for i in range(700)]
+    rows += [(700 + i, centres[0].tolist(), 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in epsilon_grid.similar_vectors(df).collect()}
+    assert got == {rows[i][0]: w for i, w in brute_links(rows, 0.98).items()}
+
+
 def test_similar_vectors_hard_cases(spark):
     rng = np.random.default_rng(1)
     rows, at = [], 0
