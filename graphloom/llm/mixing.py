@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import n_words, text_or_empty
+from graphloom.llm.common import durable, n_words, text_or_empty
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Rows that one prefix-sum bucket should hold.
 BUCKET_ROWS = 250_000
+#: Rows of offsets (about 100 bytes each) up to which they are broadcast.
+BROADCAST_STARTS = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -67,6 +69,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("_source"), F.col("_bucket").alias("_b"), "_start", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     inside = Window.partitionBy("_from", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_upto", F.sum("_size").over(inside))
+    # One row per source and bucket, about rows / BUCKET_ROWS of each; broadcast while they are few, so that texts that
+    # the window has dealt out stay where they are.
+    starts = durable(starts, "starts")
+    if starts.count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
     placed = summed.join(starts, (F.col("_bucket") == F.col("_b")) & F.col("_from").eqNullSafe(F.col("_source")))
     budget = F.round("_target").cast("long")
     epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(0).cast("long")
