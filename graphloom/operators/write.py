@@ -67,6 +67,22 @@ def set_properties(graph: Graph, owner: str, updates: DataFrame, merge: bool = T
     return _swapped(graph, owner, out).check()
 
 
+def set_result(graph: Graph, label: str, result: DataFrame, value: str, name: str | None = None, kind: str = "double") -> Graph:
+    """Keep an algorithm's result (id, value) as a property of a node type, added if it has none of that name."""
+    name = name or value
+    if name not in graph.nodes[label].columns:
+        graph = graph.add_property(label, name, kind)
+    return set_properties(graph, label, result.select("id", F.col(value).cast(graph.nodes[label].schema[name].dataType).alias(name)))
+
+
+def insert_result(graph: Graph, rel: str, pairs: DataFrame, src: str, dst: str, properties: dict[str, str] | None = None) -> Graph:
+    """Keep an algorithm's pairs as relationships of a type, made if it is unknown; the pair names the relationship."""
+    if rel not in graph.rels:
+        graph = graph.create_relationship_type(rel, properties or {})
+    number = F.xxhash64(F.lit(rel), src, dst).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    return insert_relationships(graph, rel, pairs.select(number.alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst"), *(properties or {})))
+
+
 def remove_properties(graph: Graph, owner: str, ids: DataFrame, *properties: str) -> Graph:
     frame = graph.nodes[owner] if owner in graph.nodes else graph.rels[owner].frame
     marked = frame.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")

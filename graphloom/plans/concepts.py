@@ -40,6 +40,15 @@ class Concept:
             raise AttributeError(name)
         return F.col(f"{self.var or self.name}__{name}")
 
+    def bound(self) -> DataFrame:
+        """The frame with the columns under which expressions name this concept's properties."""
+        frame = self.frame()
+        return frame.select(*[F.col(c).alias(f"{self.var or self.name}__{c}") for c in frame.columns])
+
+    def require(self, name: str, condition: Column) -> None:
+        """A requirement on every node of the concept: the condition must be true; null counts as false."""
+        self.model.require(name, lambda g: self.bound().where(~F.coalesce(condition, F.lit(False))))
+
     def frame(self) -> DataFrame:
         """Nodes of this concept and of all concepts that extend it, with the union of their properties."""
         return self.model.graph.node_frame(self.model.subtypes(self.name))
@@ -94,6 +103,14 @@ class Model:
         self.concepts[name] = Concept(self, name)
         return self.concepts[name]
 
+    def data(self, rows: DataFrame | list[dict], name: str = "Data") -> Concept:
+        """Rows given in place, as a concept of its own; equal rows are one node. Nothing is stored in the graph."""
+        frame = rows if isinstance(rows, DataFrame) else self.graph.spark.createDataFrame(rows)
+        columns = frame.columns
+        number = F.xxhash64(F.lit(name), *columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+        nodes = frame.distinct().select(number.alias("id"), number.cast("string").alias("key"), *columns)
+        return self.define_rule(name, lambda g: nodes)
+
     def require(self, name: str, violations) -> None:
         """A requirement is a function from the graph to the rows that break it; it is checked before every read."""
         self.requirements[name] = violations
@@ -120,6 +137,11 @@ class Fragment:
     unique: bool = False
     order: tuple[Column, ...] = ()
     n: int | None = None
+    required: tuple[tuple[str, Column], ...] = ()
+
+    def require(self, name: str, condition: Column) -> Fragment:
+        """A requirement on this fragment's rows, checked when it is read."""
+        return replace(self, required=(*self.required, (name, condition)))
 
     def over(self, concept: Concept, rel: str | None = None, of: Concept | None = None) -> Fragment:
         """Bind a concept: the first by a scan, further ones along a relationship from a bound one."""
@@ -146,8 +168,7 @@ class Fragment:
         rows = None
         for concept, rel, of in self.sources:
             var = concept.var or concept.name
-            frame = concept.frame()
-            frame = frame.select(*[F.col(c).alias(f"{var}__{c}") for c in frame.columns])
+            frame = concept.bound()
             if rows is None:
                 rows = frame
             else:
@@ -155,6 +176,9 @@ class Fragment:
                 rows = rows.join(hop, F.col(f"{of}__id") == F.col("_s")).join(frame, F.col("_d") == F.col(f"{var}__id")).drop("_s", "_d")
         for c in self.conditions:
             rows = rows.where(c)
+        for name, condition in self.required:
+            if rows.where(~F.coalesce(condition, F.lit(False))).take(1):
+                raise GraphError(f"requirement broken: {name}")
         out = rows.groupBy(*self.keys).agg(*self.columns) if self.keys else rows.select(*self.columns)
         out = out.distinct() if self.unique else out
         out = out.orderBy(*self.order) if self.order else out
@@ -176,8 +200,9 @@ class Fragment:
         return A.top(self.df(), n, keys, list(per), descending=False)
 
 
-def close(edges: DataFrame, traits: frozenset[str] | set[str]) -> DataFrame:
-    """The pairs (src, dst) that a relationship with these traits implies."""
+def close(edges: DataFrame, traits: frozenset[str] | set[str], vertices: DataFrame | None = None) -> DataFrame:
+    """The pairs (src, dst) that a relationship with these traits implies. A reflexive one holds for all `vertices`
+    (column id); without them, for the nodes that have a relationship."""
     if unknown := set(traits) - TRAITS:
         raise GraphError(f"unknown traits {sorted(unknown)}")
     out = edges.select("src", "dst").distinct()
@@ -193,6 +218,7 @@ def close(edges: DataFrame, traits: frozenset[str] | set[str]) -> DataFrame:
             back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(cycles, ["src", "dst"], "left_semi").select("src", F.col("src").alias("dst"))
             out = cycles.union(back).union(out).distinct()
     if "reflexive" in traits:
+        ends = ends if vertices is None else ends.union(vertices.select("id")).distinct()
         out = out.union(ends.select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct()
     if "irreflexive" in traits:
         out = out.where("src <> dst")

@@ -40,8 +40,12 @@ def load_nodes(graph: Graph, label: str, path: str, separator: str = ",") -> Gra
                 continue
         columns[base] = name
     rows = raw.withColumn("_at", F.monotonically_increasing_id())
-    if key is None:  # one pass numbers the rows in file order; loads without keys are for small files
-        rows = rows.withColumn("_key", F.row_number().over(Window.orderBy("_at")).cast("string"))
+    if key is None:  # number the rows in file order: rows before a partition (one sum each), then inside it
+        part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = rows.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n"))
+        past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.select("_part", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+        rows = rows.withColumn("_part", part).join(before, "_part").withColumn("_key", (F.col("_before") + inside + 1).cast("string"))
     else:
         rows = rows.withColumn("_key", F.col(f"`{key}`"))
     known = {f.name: f.dataType for f in frame.schema}

@@ -412,3 +412,40 @@ def test_directed_triangles_with_loops_and_opposite_edges(spark):
     e = set(edges)
     want = sum((a, b) in e and (b, c) in e and (c, a) in e for a in range(9) for b in range(9) for c in range(9))
     assert A.directed_triangle_count(spark.createDataFrame(edges, "src long, dst long")).first().n == want
+
+
+def test_results_kept_in_the_graph(people):
+    edges = A.edge_list(people.rel_frame("FRIEND"))
+    g = W.set_result(people, "Person", A.degree_centrality(edges, people.node_frame("Person").select("id")), "score", "degree")
+    assert "degree" in g.property_types("Person") and {r.id: r.degree for r in g.nodes["Person"].collect()}[4] == 0.0
+    g = W.insert_result(g, "ALIKE", A.jaccard(edges), "u", "v", {"score": "double"})
+    assert pairs(Match(g).node("a", "Person").expand("a", "ALIKE", "b", "Person").select("a__id", "b__id")) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_requirements_of_concepts_and_fragments_and_data(spark):
+    m = Model(Graph(spark))
+    person = m.concept("Person", {"ssn": "integer"})
+    m.define(person, spark.createDataFrame([(1,), (2,)], "ssn long"))
+    found = m.select(person.ssn).over(person)
+    assert found.require("positive", person.ssn > 0).df().count() == 2
+    with pytest.raises(GraphError, match="large"):
+        found.require("large", person.ssn > 1).df()
+    extra = m.data([{"city": "Rome", "n": 3}, {"city": "Oslo", "n": 5}, {"city": "Oslo", "n": 5}])
+    assert pairs(m.select(extra.city, extra.n).over(extra).where(extra.n > 3).df()) == [("Oslo", 5)]
+    person.require("at most one", person.ssn < 2)
+    with pytest.raises(GraphError, match="at most one"):
+        found.df()
+
+
+def test_reflexive_closure_of_lone_nodes(spark):
+    e = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert pairs(close(e, {"reflexive"}, spark.createDataFrame([(7,)], "id long"))) == [(1, 1), (1, 2), (2, 2), (7, 7)]
+
+
+def test_rows_without_a_key_are_numbered_in_file_order(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.csv").write_text("name\n" + "".join(f"n{i}_{j}\n" for j in range(3)))
+    g = csv.load_nodes(Graph(spark).create_node_type("N", {"name": "string"}), "N", str(tmp_path))
+    rows = {int(r.key): r.name for r in g.nodes["N"].collect()}
+    assert sorted(rows) == list(range(1, 13)) and len(set(rows.values())) == 12
+    assert all(rows[k][:3] == rows[k - k % 3 + 1 if k % 3 else k - 2][:3] for k in rows)
