@@ -449,3 +449,26 @@ def test_rows_without_a_key_are_numbered_in_file_order(spark, tmp_path):
     rows = {int(r.key): r.name for r in g.nodes["N"].collect()}
     assert sorted(rows) == list(range(1, 13)) and len(set(rows.values())) == 12
     assert all(rows[k][:3] == rows[k - k % 3 + 1 if k % 3 else k - 2][:3] for k in rows)
+
+
+def test_label_propagation_against_brute_force(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(20), rng.randrange(20), float(rng.randrange(1, 4))) for _ in range(45)]
+    near = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            near[x, y] = near.get((x, y), 0) + w
+    label = {i: i for i in range(20)}
+    for _ in range(15):
+        new = {}
+        for i in label:
+            votes = {}
+            for (x, y), w in near.items():
+                if x == i:
+                    votes[label[y]] = votes.get(label[y], 0) + w
+            new[i] = min(votes, key=lambda c: (-votes[c], c)) if votes else label[i]
+        done, label = new == label, new
+        if done:
+            break
+    got = A.label_propagation(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.range(20).select("id"))
+    assert {r.id: r.label for r in got.collect()} == label
