@@ -82,8 +82,8 @@ def _levels(hops: DataFrame, starts: DataFrame, high: int | None) -> list[DataFr
         if len(levels) > SAFETY:
             raise GraphError(f"distances over {SAFETY}: give an upper bound")
         step = levels[-1].join(hops, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-        for level in levels:  # levels are tables of their own; none is written twice
-            step = step.join(level.select("start", "node"), ["start", "node"], "left_anti")
+        # Levels are tables of their own; none is written twice.
+        step = step.join(reduce(DataFrame.unionByName, levels).select("start", "node"), ["start", "node"], "left_anti")
         front = durable(step.withColumn("depth", F.lit(len(levels))), "front")
         if front.isEmpty():
             break
