@@ -13,6 +13,9 @@ from graphloom.operators.components import components
 from graphloom.operators.paths import k_hop
 from graphloom.plans.durable import durable
 
+#: Neighbours of one vertex in a block of a wedge join.
+BLOCK = 1_024
+
 
 def edge_list(rels: DataFrame, weight: str | None = None) -> DataFrame:
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
@@ -115,12 +118,15 @@ def degree_centrality(edges: DataFrame, vertices: DataFrame, direction: str = "b
 
 
 def _common(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v, shared) of pairs u < v with common neighbours, and (id, deg)."""
+    """(w, u, v) for every pair u < v of neighbours of w, and (id, deg)."""
     near = durable(neighbour_sets(edges), "near")
     deg = near.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    a, b = near.select(F.col("src").alias("w"), F.col("dst").alias("u")), near.select(F.col("src").alias("w"), F.col("dst").alias("v"))
-    wedge = a.join(b, "w").where("u < v")
-    return wedge, deg
+    # A hub's neighbours meet block by block, so that no task pairs more than BLOCK * BLOCK of one vertex.
+    blocks = F.ceil(F.col("deg") / BLOCK).cast("int")
+    dealt = near.join(deg, F.col("src") == F.col("id")).select(F.col("src").alias("w"), "dst", F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    a = dealt.select("w", F.col("dst").alias("u"), F.col("own").alias("p"), F.col("other").alias("q"))
+    b = dealt.select("w", F.col("dst").alias("v"), F.col("other").alias("p"), F.col("own").alias("q"))
+    return a.join(b, ["w", "p", "q"]).where("u < v").select("w", "u", "v"), deg
 
 
 def _with_degrees(pairs: DataFrame, deg: DataFrame) -> DataFrame:

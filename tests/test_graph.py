@@ -16,6 +16,7 @@ from graphloom.operators import write as W
 from graphloom.operators.match import Match
 from graphloom.plans.concepts import Model, close, trait_violations
 from graphloom.plans.graph import Graph, GraphError, prop
+from graphloom.plans.session import Session
 from graphloom.sources import csv
 from graphloom.streaming.ingest import ingest_relationships
 
@@ -472,3 +473,32 @@ def test_label_propagation_against_brute_force(spark):
             break
     got = A.label_propagation(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.range(20).select("id"))
     assert {r.id: r.label for r in got.collect()} == label
+
+
+def test_sessions_allow_what_their_mode_does(people, spark):
+    add = lambda g: W.insert_nodes(g, "Person", spark.createDataFrame([(9, "eve", "Eve")], "id long, key string, name string"))
+    reader, writer, admin = (Session(people, m) for m in ("ro", "rw", "admin"))
+    assert reader.read(lambda g: g.node_frame("Person").count()) == 4
+    for forbidden in (lambda: reader.write(add), lambda: writer.administer(Graph.drop_view, "x"), lambda: writer.write(Graph.create_node_type, "Pet"), lambda: writer.write(Graph.add_property, "Person", "size", "double"), lambda: Session(people, "root")):
+        with pytest.raises(GraphError):
+            forbidden()
+    assert writer.graph is people and writer.write(add).node_frame("Person").count() == 5
+    admin.administer(Graph.create_node_type, "Pet")
+    assert set(admin.graph.nodes) == {"Person", "Pet"} and set(people.nodes) == {"Person"}
+    admin.administer(Graph.create_constraint, "adult", lambda g: g.node_frame("Person").where("age < 18"))
+    young = lambda g: W.set_properties(g, "Person", spark.createDataFrame([(1, 3)], "id long, age long"))
+    before = admin.graph
+    with pytest.raises(GraphError):
+        admin.write(young)
+    assert admin.graph is before
+
+
+def test_similarity_of_a_hub_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = {(0, v) for v in range(1, 30)} | {(rng.randrange(30), rng.randrange(30)) for _ in range(60)} | {(7, 7)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
+    near = {v: {b for a, b in edges if a == v and b != v} | {a for a, b in edges if b == v and a != v} for v in range(30)}
+    want = {(u, v): len(near[u] & near[v]) / len(near[u] | near[v]) for u, v in itertools.combinations(range(30), 2) if near[u] & near[v]}
+    monkeypatch.setattr(A, "BLOCK", 4)
+    got = {(r.u, r.v): r.score for r in A.jaccard(df, least=0.0).collect()}
+    assert got == pytest.approx(want)
