@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, durable, text_or_empty
+from graphloom.llm.common import components, durable, release, text_or_empty
 from graphloom.llm.ragged import U, flat, mix64, shingles, steps, word_hashes, words
 
 N_WORDS = 5
@@ -182,9 +182,10 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], lists], names=["_rep", "runs"])
 
 
-def _postings(some: DataFrame) -> DataFrame:
+def _postings(some: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(_rep, size, run, at): the runs that a text shares with others, at their places by (how common, hash), as far as
-    a pair at the threshold must share one. Runs that no other text has come first and are only counted."""
+    a pair at the threshold must share one. Runs that no other text has come first and are only counted. The tables that
+    this reads are given too, to be released once it is stored."""
     listed = durable(some.mapInArrow(_listed, "_rep long, runs array<long>"), "runs")
     each = listed.select("_rep", F.size("runs").cast("long").alias("size"), F.explode("runs").alias("run"))
     counts = durable(each.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "run-counts")
@@ -197,7 +198,7 @@ def _postings(some: DataFrame) -> DataFrame:
     alone = F.col("size") - F.size("s")
     length = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-6) + 1
     placed = by_text.select("_rep", "size", alone.alias("alone"), F.posexplode(F.slice("s", 1, F.greatest(length - alone, F.lit(0)).cast("int"))).alias("i", "r"))
-    return placed.select("_rep", "size", F.col("r")["run"].alias("run"), (F.col("alone") + F.col("i")).alias("at"))
+    return placed.select("_rep", "size", F.col("r")["run"].alias("run"), (F.col("alone") + F.col("i")).alias("at")), [listed, counts]
 
 
 def _tasks(rows: DataFrame, per_task: int) -> int:
@@ -212,16 +213,19 @@ def _differ_little(x, y, size_x, size_y):
     return bits <= (1 - THRESHOLD) / (1 + THRESHOLD) * (size_x + size_y) + 1e-6
 
 
-def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame | None:
+def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame, known: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """The pairs (a, b, ca, cb) of different classes that share a bucket of `live` and may reach the threshold; none
-    that does is left out. None if no bucket holds several classes."""
+    that does is left out. None if no bucket holds several classes. The tables that the pairs are read from are given
+    too, to be released once those are stored."""
     with_class = live.join(classes.select("_rep", "c"), "_rep")
     mixed = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     members = durable(with_class.join(mixed, "key").groupBy("_rep", "c").agg(F.collect_list("key").alias("keys")), "unresolved")
     if members.isEmpty():
-        return None
+        return None, [members]
     some = texts.join(members.select(F.col("_rep").alias("_id")), "_id", "left_semi")
-    posted = durable(_postings(some).join(members.select("_rep", "c"), "_rep").join(known.select("_rep", "sketch"), "_rep"), "postings")
+    postings, used = _postings(some)
+    posted = durable(postings.join(members.select("_rep", "c"), "_rep").join(known.select("_rep", "sketch"), "_rep"), "postings")
+    release(*used)
     # The first run that two texts share has min(size - at) runs from there on at most, all that they can have in common.
     # That many are too few unless it stands within the first ninth of the smaller text (2t / (1 + t) = 8/9).
     early = F.col("size") - F.col("at") >= 2 * THRESHOLD / (1 + THRESHOLD) * F.col("size") - 1e-6
@@ -232,6 +236,7 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame, known: Da
     cells = per.join(useful, "run").select("run", "c", F.when(alone, F.col("c")).otherwise(-1).alias("g"), F.ceil(F.when(alone, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
     placed = posted.join(cells, ["run", "c"]).select("run", F.struct("g", F.pmod(F.xxhash64("_rep"), "blocks").alias("i")).alias("block"), F.struct("_rep", "c", "size", "at", "sketch").alias("m"))
     placed = durable(placed, "blocks")
+    release(posted, per)
     block = placed.select("run", "block").distinct()
     small, large = block.withColumnRenamed("block", "p"), block.withColumnRenamed("block", "q")
     met = small.join(large, "run").where((F.col("p") <= F.col("q")) & ((F.col("p")["g"] != F.col("q")["g"]) | (F.col("p")["g"] < 0)))
@@ -246,17 +251,20 @@ def _unresolved(live: DataFrame, classes: DataFrame, texts: DataFrame, known: Da
     low, high = F.least(mine, other), F.greatest(mine, other)
     pairs = pairs.select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
     keys = lambda c: members.select(F.col("_rep").alias(c), F.col("keys").alias(f"keys_{c}"))
-    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b", "ca", "cb")
+    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b", "ca", "cb"), [placed, members]
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose whole texts reach the threshold; texts are fetched for those only that their sketches leave open."""
+    """The pairs whose whole texts reach the threshold, stored; texts are fetched for those only that their sketches leave open."""
     sides = [known.select(F.col("_rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
     pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_differ_little(F.col("sketch_a"), F.col("sketch_b"), F.col("size_a"), F.col("size_b"))).select("a", "b", "ca", "cb")
     pairs = durable(pairs, "pairs")
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
-    return pairs.join(a, "a").repartition(_tasks(pairs, 20_000), "b").join(b, "b").select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verified, "a long, b long, ca long, cb long")
+    both = pairs.join(a, "a").repartition(_tasks(pairs, 20_000), "b").join(b, "b").select("a", "b", "ca", "cb", "text_a", "text_b")
+    links = durable(both.mapInArrow(_verified, "a long, b long, ca long, cb long"), "verified")
+    release(pairs)
+    return links
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -285,11 +293,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         best = F.array_compact(F.array(*[F.max_by(F.when(slot == i, member), F.when(slot == i, rank)) for i in range(slots)]))
         first = with_class.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("f")).where(F.col("lo") < F.col("hi")).select("key", "f")
         met = durable(with_class.join(first, "key"), "met")
+        release(live)
         low, high = F.least(member, F.col("p")), F.greatest(member, F.col("p"))
         # A text meets a pivot once, however many of its buckets share it; a list holds BANDS * PIVOTS entries at most.
         others = F.array_distinct(F.flatten(F.collect_list(F.filter("f", lambda p: p["c"] != F.col("c")))))
         pairs = met.groupBy("_rep", "c").agg(others.alias("f")).select("_rep", "c", F.explode("f").alias("p")).select(low["_rep"].alias("a"), high["_rep"].alias("b"), low["c"].alias("ca"), high["c"].alias("cb")).distinct()
-        links = durable(_verify(pairs, texts, known), "verified")
+        links = _verify(pairs, texts, known)
         live = met.where(~F.exists("f", lambda x: x["_rep"] == F.col("_rep"))).select("_rep", "key")
         if links.isEmpty():
             break
@@ -298,13 +307,15 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # stays apart is only compared again. The components of all links are taken once, at the end.
         hooked = links.select(F.explode(F.array("ca", "cb")).alias("c"), F.least("ca", "cb").alias("to")).groupBy("c").agg(F.min("to").alias("to"))
         gained = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count(F.lit(1)).alias("gain"))
-        classes = durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score")), "classes")
+        old, classes = classes, durable(classes.join(hooked, "c", "left").join(gained, "_rep", "left").select("_rep", F.coalesce("to", "c").alias("c"), (F.col("score") + F.coalesce("gain", F.lit(0)) * BANDS).alias("score")), "classes")
+        release(old)
     # Pairs that no pivot has met are compared now.
-    pairs = _unresolved(live, classes, texts, known)
+    pairs, used = _unresolved(live, classes, texts, known)
     if pairs is not None:
-        links = durable(_verify(pairs, texts, known), "verified")
+        links = _verify(pairs, texts, known)
         if not links.isEmpty():
             found.append(links.select("a", "b"))
+    release(live, classes, texts, searched, *used)
     merged = components(reduce(DataFrame.union, found)) if found else None
     named = reps.select("_sha", "_first", F.col("_rep").alias("c"))
     if merged is not None:
