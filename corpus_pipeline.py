@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import dart_minhash, exact_dedup, language_id, mixing, packing
-from graphloom.llm.common import durable
+from graphloom.llm.common import durable, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = durable(docs, f"pipeline-{name}")
+            kept = durable(kept, f"pipeline-{name}")
+            if i:  # what a stage has read is done with, save the input itself
+                release(docs)
+        docs = kept
     return docs
